@@ -10,8 +10,8 @@ containment: distinct template shingles, as text, found in the window.
 
 A band can only agree if the window has the very shingle that gives the template its least hash. So the template side's
 shingles are pushed into the scan of documents as a set: windows without any of them can't collide and are not hashed.
-The set has at most bands * templates members and is sent with the plan behind a check of its size (MOST_ANCHORS); a
-larger library takes the same windows without this filter.
+That set and the bands' table go with the plan as constants of at most bands * TEMPLATES_AT_ONCE entries; a larger
+library is scanned in as many blocks. Only the windows that collide leave the scan, and only their counts are shuffled.
 
 Defined results: null, empty and short texts (fewer than five words) have no shingles and no rows; repeated rows give
 repeated rows of results, one for each document row and licence, with the first passage's place; an empty table gives
@@ -21,6 +21,8 @@ an empty table; very long texts have more windows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from notegrain.llm._common import table
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.999
-MOST_ANCHORS = 20_000
+TEMPLATES_AT_ONCE = 100
 
 #: Notices as licences prescribe or suggest them, licence and words.
 TEMPLATES = (
@@ -52,17 +54,25 @@ def word_array(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once; a column that a lambda mentions would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _places(items: Column) -> Column:
+    """0-based places of an array's shingles."""
+    n = F.size(items) - F.lit(SHINGLE_WORDS)
+    return F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
+
+
 def _shingle_texts(words: Column) -> Column:
-    n = F.size(words) - F.lit(SHINGLE_WORDS)
-    places = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.array_join(F.slice(words, i + 1, SHINGLE_WORDS), " "))
+    return _let(words, lambda w: F.transform(_places(w), lambda i: F.array_join(F.slice(w, i + 1, SHINGLE_WORDS), " ")))
 
 
-def _shingle_hashes(hashes: Column) -> Column:
-    """Hash of each shingle from the words' hashes."""
-    n = F.size(hashes) - F.lit(SHINGLE_WORDS)
-    places = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(SHINGLE_WORDS)]))
+def _shingle_hashes(words: Column) -> Column:
+    """Hash of each shingle, made of its words' hashes."""
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return _let(hashed, lambda h: F.transform(_places(h), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE_WORDS)])))
 
 
 def bands_for(recall: float = RECALL, similarity: float = SIMILARITY) -> int:
@@ -71,68 +81,80 @@ def bands_for(recall: float = RECALL, similarity: float = SIMILARITY) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - worst))
 
 
-def _band_hash(shingle: Column, band: Column | int) -> Column:
-    return F.xxhash64(shingle, F.lit(band) if isinstance(band, int) else band)
+def _band_hash(shingle: Column, band: Column) -> Column:
+    return F.xxhash64(shingle, band)
 
 
-def template_table(spark: SparkSession, templates: tuple = TEMPLATES) -> DataFrame:
-    """template_id, license, shingles (texts), class, hashes."""
+def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> DataFrame:
+    """template_id, license, shingles (texts), hashes, class; notices of fewer than five words have no shingle and no row."""
     rows = [(k, name, text) for k, (name, text) in enumerate(templates)]
-    words = word_array(F.col("text"))
-    df = spark.createDataFrame(rows, "template_id int, license string, text string").select("template_id", "license", words.alias("words"))
-    df = df.select("template_id", "license", F.array_distinct(_shingle_texts(F.col("words"))).alias("shingles"), F.array_distinct(_shingle_hashes(F.transform("words", lambda w: F.xxhash64(w)))).alias("hashes"))
+    words = spark.createDataFrame(rows, "template_id int, license string, text string").select("template_id", "license", word_array(F.col("text")).alias("words"))
+    df = words.select("template_id", "license", F.array_distinct(_shingle_texts(F.col("words"))).alias("shingles"), F.array_distinct(_shingle_hashes(F.col("words"))).alias("hashes"))
     size = F.size("shingles")
     # class c: at most 2**(c-1) shingles
     return df.where(size > 0).withColumn("class", (F.ceil(F.log2(size.cast("double"))) + 1).cast("int"))
 
 
-def scan(docs: DataFrame, templates: tuple = TEMPLATES, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, template_id, license, containment, first_word, passages: licences found, a row for each document and template."""
+def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, license, template, containment, first_word, passages: a row for each document and template found in it."""
+    blocks = [templates[k : k + TEMPLATES_AT_ONCE] for k in range(0, len(templates), TEMPLATES_AT_ONCE)] or [()]
+    return reduce(DataFrame.unionByName, [_scan_block(docs, b, similarity) for b in blocks])
+
+
+def _scan_block(docs: DataFrame, templates: Sequence[tuple[str, str]], similarity: float) -> DataFrame:
     spark = docs.sparkSession
     bands = bands_for(similarity=similarity)
     known = template_table(spark, templates)
-    band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
+    every_band = F.sequence(F.lit(0), F.lit(bands - 1))
     # each band's least hash and the shingle that has it
     least = F.array_min(F.transform("hashes", lambda h: F.struct(_band_hash(h, F.col("band")).alias("value"), h.alias("shingle"))))
-    signed = known.select("template_id", "class", "hashes", band).withColumn("least", least)
-    # the library is an argument of the plan, not data of the corpus: its rows are few
-    library = signed.select("template_id", "class", "band", F.col("least.value").alias("value"), F.col("least.shingle").alias("anchor")).collect()
-    classes = sorted({r["class"] for r in library})
-    anchors = sorted({r.anchor for r in library})
-    row_id = F.monotonically_increasing_id()
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_array(F.col("text")).alias("words")).withColumn("sh", _shingle_hashes(F.transform("words", lambda w: F.xxhash64(w))))
-    hits = F.sequence(F.lit(0), F.size("sh") - 1)
-    hits = F.when(F.size("sh") > 0, hits).otherwise(F.array().cast("array<int>"))
-    if len(anchors) <= MOST_ANCHORS:
-        hits = F.filter(hits, lambda i: F.get(F.col("sh"), i).isin(anchors))
-    found = hashed.withColumn("hits", hits).where(F.size("hits") > 0)
+    signed = known.withColumn("band", F.explode(every_band)).withColumn("least", least)
+    # the library's own rows, not the corpus's: bands for each of TEMPLATES_AT_ONCE templates
+    library = signed.select("template_id", "class", F.xxhash64("class", "band", "least.value").alias("key"), F.col("least.shingle").alias("anchor")).collect()
+    classes, anchors = sorted({r["class"] for r in library}), sorted({r.anchor for r in library})
+    owners: dict[int, list[int]] = {}
+    for r in library:
+        owners.setdefault(r.key, []).append(r.template_id)
+    keys = sorted(owners)
+    table_of_keys = F.map_from_arrays(F.array(*map(F.lit, keys)).cast("array<bigint>"), F.array(*[F.array(*map(F.lit, owners[k])) for k in keys]).cast("array<array<int>>"))
+
+    def parsed(words: Column) -> Column:
+        return _let(words, lambda w: _let(_shingle_hashes(w), lambda sh: F.struct(w.alias("words"), sh.alias("sh"), hits(sh).alias("hits"))))
+
+    def hits(sh: Column) -> Column:
+        return F.filter(F.transform(sh, lambda h, i: F.when(h.isin(anchors), i)), lambda i: i.isNotNull())
 
     def windows(c: int) -> Column:
-        # the one or two windows of class c over each hit, first shingle of each
-        step = max(1, 1 << (c - 1))
-        both = F.flatten(F.transform("hits", lambda i: F.array(F.floor(i / step) * step, F.greatest(F.floor(i / step) - 1, F.lit(0)) * step)))
+        # the two windows of class c over each hit: class and first shingle
+        step = 1 << (c - 1)
+        both = F.flatten(F.transform("p.hits", lambda i: F.array(F.floor(i / step) * step, F.greatest(F.floor(i / step) - 1, F.lit(0)) * step)))
         return F.transform(F.array_distinct(both), lambda s: F.struct(F.lit(c).alias("class"), s.cast("int").alias("first")))
 
-    # rows are numbered before they are multiplied, so that repeated documents stay apart
-    spread = found.withColumn("row", row_id).withColumn("w", F.explode(F.concat(*[windows(c) for c in classes]))) if classes else found.withColumn("row", row_id).withColumn("w", F.explode(F.array().cast("array<struct<class:int,first:int>>")))
+    # explode_outer of one element holds the parsed text as a value; a projection could be evaluated again for each use
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode_outer(F.array(parsed(word_array(F.col("text"))))).alias("p"))
+    # rows are numbered, so that repeated documents stay apart
+    found = texts.where(F.size("p.hits") > 0).withColumn("row", F.monotonically_increasing_id())
+    none = F.array().cast("array<struct<class:int,first:int>>")
+    spread = found.withColumn("w", F.explode(F.concat(none, *[windows(c) for c in classes])))
     length = F.pow(F.lit(2), F.col("w.class")).cast("int")
-    cut = spread.select("row", "doc_id", F.col("w.class").alias("class"), F.col("w.first").alias("first"), F.slice("words", F.col("w.first") + 1, length + SHINGLE_WORDS - 1).alias("words"), F.slice("sh", F.col("w.first") + 1, length).alias("sh"))
-    signature = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform("sh", lambda h: _band_hash(h, b))).alias("value")))
-    banded = cut.withColumn("s", F.explode(signature)).select("row", "doc_id", "class", "first", "words", F.col("s.band").alias("band"), F.col("s.value").alias("value"))
-    keys = spark.createDataFrame([(r.template_id, r["class"], r.band, r.value) for r in library], "template_id int, class int, band int, value long")
-    if len(library) <= bands * MOST_ANCHORS:
-        keys, known = F.broadcast(keys), F.broadcast(known)
-    candidates = banded.join(keys, ["class", "band", "value"]).dropDuplicates(["row", "template_id", "first", "class"])
-    own = _shingle_texts(F.col("words"))
-    matched = F.array_intersect(F.col("shingles"), own)
-    verified = candidates.join(known.select("template_id", "license", "shingles"), "template_id").withColumn("matched", matched)
+    cut = spread.select("row", "doc_id", "w", F.slice("p.words", F.col("w.first") + 1, length + SHINGLE_WORDS - 1).alias("words"), F.slice("p.sh", F.col("w.first") + 1, length).alias("sh"))
+
+    def signature(sh: Column) -> Column:
+        return F.transform(every_band, lambda b: F.xxhash64(F.col("w.class"), b, F.array_min(F.transform(sh, lambda h: _band_hash(h, b)))))
+
+    collided = F.filter(_let(F.col("sh"), signature), lambda k: k.isin(keys))
+    owned = F.array_distinct(F.flatten(F.transform(collided, lambda k: F.element_at(table_of_keys, k))))
+    candidates = cut.select("row", "doc_id", F.col("w.first").alias("first"), "words", F.explode(owned).alias("template_id"))
+    named = known.select("template_id", F.col("license").alias("license"), "shingles")
+    joined = candidates.join(F.broadcast(named), "template_id").withColumn("own", _shingle_texts(F.col("words")))
+    verified = joined.withColumn("matched", F.array_intersect("shingles", "own"))
     verified = verified.withColumn("containment", F.size("matched") / F.size("shingles")).where(F.col("containment") >= similarity)
     # where the passage begins: the first of its shingles in the window
-    at = F.col("first") + F.array_min(F.transform("matched", lambda m: F.array_position(own, m))).cast("int") - 1
-    placed = verified.withColumn("at", at)
+    at = F.col("first") + _let(F.struct("matched", "own"), lambda x: F.array_min(F.transform(x["matched"], lambda m: F.array_position(x["own"], m)))).cast("int") - 1
+    placed = verified.select("row", "doc_id", "template_id", "license", "containment", at.alias("at"))
     return placed.groupBy("row", "doc_id", "template_id", "license").agg(
         F.max("containment").alias("containment"), F.min("at").alias("first_word"), F.count_distinct("at").alias("passages")
-    ).select("doc_id", "template_id", "license", "containment", "first_word", "passages")
+    ).select("doc_id", "license", F.element_at(F.array(*[F.lit(t) for _, t in templates] or [F.lit("")]), F.col("template_id") + 1).alias("template"), "containment", "first_word", "passages")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,14 +54,15 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Sr": "m", "S
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])")),
-    ("secret", re.compile(r"(?i)(?<=[\"'=: ])(?:(?<=token = [\"'])|(?<=token=[\"'])|(?<=key = [\"'])|(?<=key=[\"'])|(?<=secret = [\"'])|(?<=password = [\"']))[A-Za-z0-9_\-]{12,}(?=[\"'])|(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{64}|[0-9A-F]{64}|[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{32}|[0-9A-F]{32})(?![0-9A-Za-z])")),
+    ("secret", re.compile(r"(?i:token|key|secret|password)\s?[=:]\s?[\"'](?P<value>[A-Za-z0-9_\-]{12,})[\"']")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?P<value>[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])")),
     ("ip", re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)")),
     ("card", re.compile(r"(?<![\d.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\d]|[.-]\d)")),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.+-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d.-])")),
-    ("name", re.compile(rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>[^\W\d_a-zа-яα-ω]\w+(?: [^\W\d_a-zа-яα-ω]\w+)?)")),
+    ("phone", re.compile(r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.+-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d.-])")),
+    ("name", re.compile(rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<value>[^\W\d_a-zа-яα-ω]\w+(?: [^\W\d_a-zа-яα-ω]\w+)?)")),
 )
-#: Every entity but a name holds one of these; texts without any skip its pattern.
-_MAYBE_NAME = re.compile(r"\b(?:" + "|".join(TITLES) + r")\b")
+#: Sizes of plain hex tokens (128, 160, 256 bits).
+_HEX_SIZES = (32, 40, 64)
 
 
 class Entity(NamedTuple):
@@ -77,15 +78,22 @@ class Entity(NamedTuple):
 def find_entities(text: str) -> list[Entity]:
     """Mentions in order; none overlap."""
     taken: list[Entity] = []
-    has_digit, has_at = re.search(r"\d", text) is not None, "@" in text
+    digits = re.search(r"\d", text) is not None
+    # what must be in a text for a pattern to be worth trying
+    worth = {"email": "@" in text, "secret": digits, "ip": digits, "card": digits, "phone": digits, "name": any(t in text for t in TITLES)}
+    free = text
     for kind, pattern in PATTERNS:
-        if kind == "email" and not has_at or kind in ("ip", "card", "phone") and not has_digit or kind == "name" and not _MAYBE_NAME.search(text):
-            continue
-        for m in pattern.finditer(text):
-            start, end = m.span("name") if kind == "name" else m.span()
-            if not any(start < t.end and end > t.start for t in taken):
-                gender = TITLES[re.match(r"\w+", m[0])[0]] if kind == "name" else ""  # type: ignore[index]
-                taken.append(Entity(kind, start, end, text[start:end], gender))
+        before = len(taken)
+        for m in pattern.finditer(free) if worth[kind] else ():
+            group = "value" if "value" in pattern.groupindex else 0
+            start, end = m.span(group)
+            plain_hex = kind == "secret" and m.span() == m.span(group)
+            if plain_hex and (end - start not in _HEX_SIZES or m[group].isdigit() or m[group].isalpha()):
+                continue
+            gender = TITLES[re.match(r"\w+", m[0])[0]] if kind == "name" else ""  # type: ignore[index]
+            taken.append(Entity(kind, start, end, text[start:end], gender))
+        for e in taken[before:]:  # what is taken is hidden from the patterns to come
+            free = free[: e.start] + "\0" * (e.end - e.start) + free[e.end :]
     return sorted(taken, key=lambda e: e.start)
 
 
