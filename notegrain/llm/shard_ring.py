@@ -26,7 +26,7 @@ from notegrain.llm._common import checkpoint, table
 SHARDS = 8
 VIRTUAL_NODES = 128
 #: A shard's capacity in means.
-CAPACITY = 1.005
+CAPACITY = 1.001
 CELLS = 1 << 16
 #: Keys above this part of a shard's mean load are placed by themselves; there are at most SHARDS / HOT of them.
 HOT = 0.002

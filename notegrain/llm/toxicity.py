@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: labels are known for documents, scores are made for sentences.
 
-A document is the bag of its sentences. Each sentence has a probability (logistic in its distinct words); the document's
-is their noisy-or, 1 - prod(1 - p). The weights are fitted to document labels only, by descent on the bags' likelihood
+A document is the bag of its sentences. Each sentence has a probability (logistic in its distinct words and
+their beginnings); the document's is their noisy-or, 1 - prod(1 - p). The weights are fitted to document labels only, by descent on the bags' likelihood
 with an L1 pull to zero, so the words that tell the labels apart keep weights and the sentences holding them are found.
 
 The fit uses a bounded sample of the labelled training rows: at most SAMPLE of each label, chosen by hash of doc_id.
@@ -34,6 +34,8 @@ VOCABULARY = 4096
 LEAST_DOCUMENTS = 4
 #: A document is predicted toxic from this score on; a sentence is reported from this one on.
 THRESHOLD, SENTENCE_THRESHOLD = 0.7, 0.5
+#: Lengths of word beginnings.
+STEMS = (5, 7)
 _STEPS, _L1, _RATE = 400, 2e-4, 0.1
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -45,7 +47,9 @@ def sentences(text: str | None) -> list[tuple[int, str]]:
 
 
 def words(sentence: str) -> set[str]:
-    return set(_WORD.findall(sentence.lower()))
+    """Distinct words, and the beginnings of longer ones, written with a star: inflected words share them."""
+    found = set(_WORD.findall(sentence.lower()))
+    return found.union(*[{f"{w[:k]}*" for w in found if len(w) > k} for k in STEMS])
 
 
 def training_rows(labels: DataFrame, label: str = "toxic") -> DataFrame:
