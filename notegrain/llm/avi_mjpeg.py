@@ -78,14 +78,14 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     difference[:, :, 1:] = wide[:, :, 1:] - wide[:, :, :-1]
     difference[:, 1:, 0] = wide[:, 1:, 0] - wide[:, :-1, 0]
     difference[:, 0, 0] = wide[:, 0, 0] - 128
-    groups = _SYMBOLS[difference.reshape(n, -1, 8) + 255]
+    groups = _SYMBOLS[difference.reshape(n, height * width // 8, 8) + 255]
     packed = np.zeros((n, groups.shape[1], 9), np.uint16)
     for j in range(9):  # byte j of nine ends symbol j-1 and begins symbol j
         if j:
             packed[:, :, j] |= (groups[:, :, j - 1] << (8 - j)) & 0xFF
         if j < 8:
             packed[:, :, j] |= groups[:, :, j] >> (j + 1)
-    scans = packed.astype(np.uint8).reshape(n, -1)
+    scans = packed.astype(np.uint8).reshape(n, height * width * 9 // 8)
     head = _head(width, height)
     return [head + scan.tobytes().replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for scan in scans]
 
@@ -204,7 +204,7 @@ def _lossless(jpeg: Jpeg) -> np.ndarray:
 def decode_scans(scans: list[bytes], height: int, width: int) -> np.ndarray:
     """Frames of nine-bit scans, all at once."""
     need = height * width * 9 // 8
-    raw = np.frombuffer(b"".join([s[:need] for s in scans]), np.uint8).reshape(len(scans), -1, 9).astype(np.uint16)
+    raw = np.frombuffer(b"".join([s[:need] for s in scans]), np.uint8).reshape(len(scans), need // 9, 9).astype(np.uint16)
     symbols = np.empty((*raw.shape[:2], 8), np.uint16)
     for k in range(8):
         symbols[:, :, k] = ((raw[:, :, k] << 8 | raw[:, :, k + 1]) >> (7 - k)) & 0x1FF
