@@ -1,0 +1,143 @@
+"""Reading notes, annotations, judge outputs and configuration; writing them. Files are read by Spark, not by the driver."""
+
+from __future__ import annotations
+
+import json
+from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from notegrain.functions.text import strip
+from notegrain.operators.judging import valid_note_names
+
+
+def decoded(content: Column, lossy: bool = False) -> Column:
+    """Bytes as UTF-8, else as Latin-1 (or, if lossy, with replacement marks); line ends as line feeds."""
+    other = F.make_valid_utf8(content.cast("string")) if lossy else F.decode(content, "ISO-8859-1")
+    text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(other)
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
+def _base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(name, r"\.[^.]*$", "")
+
+
+def read_files(spark: SparkSession, folder: str, pattern: str = "*.[tT][xX][tT]", recursive: bool = True, lossy: bool = False) -> DataFrame:
+    """file_path, file_name, text of the files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.col("path").alias("file_path"), _base_name(F.col("path")).alias("file_name"), decoded(F.col("content"), lossy).alias("text"))
+
+
+def read_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """read_files and patient_id, the 0-based place of the path among all.; only paths are ordered, contents are joined."""
+    places = list_files(spark, folder).select("file_path", (F.row_number().over(Window.orderBy("file_path")) - 1).alias("patient_id"))
+    return read_files(spark, folder).join(places, "file_path")
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.[tT][xX][tT]") -> DataFrame:
+    """file_path, file_name, bytes; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.col("path").alias("file_path"), _base_name(F.col("path")).alias("file_name"), F.col("length").alias("bytes"))
+
+
+def discover_notes(spark: SparkSession, root: str, output: str | None = None) -> DataFrame:
+    """strategy (first folder, or the root's name), file_name, relative_path, file_path of generated notes."""
+    base = root.rstrip("/")
+    files = valid_note_names(list_files(spark, root))
+    relative = F.regexp_replace("file_path", f"^(file:/*)?/?{base.lstrip('/')}/", "")
+    rows = files.withColumn("relative_path", relative)
+    if output:
+        rows = rows.where(~F.col("file_path").contains(output.rstrip("/") + "/"))
+    parts = F.split("relative_path", "/")
+    strategy = F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise(F.lit(base.rsplit("/", 1)[-1]))
+    return rows.select(strategy.alias("strategy"), "file_name", "relative_path", "file_path").dropDuplicates(["strategy", "relative_path"])
+
+
+def pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """stem, text, ann: texts and annotations of one stem."""
+    side = lambda p, n: read_files(spark, folder, p, recursive=False, lossy=True).select(_stem(F.col("file_name")).alias("stem"), F.col("text").alias(n))
+    return side("*.txt", "text").join(side("*.ann", "ann"), "stem")
+
+
+def ann_file_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """file_name, line of all annotation files."""
+    return read_files(spark, folder, "*.ann", recursive=False, lossy=True).select("file_name", F.explode(F.split("text", "\n")).alias("line"))
+
+
+def read_completed(spark: SparkSession, jsonl: str) -> DataFrame:
+    """file_name of judged notes in a JSONL log; blank and bad lines and incomplete scores are passed over."""
+    from notegrain.operators.judging import complete, validated
+
+    lines = spark.read.text(jsonl).select(F.try_parse_json("value").alias("v")).where("v is not null")
+    name = F.coalesce(F.try_variant_get("v", "$.filename", "string"), F.try_variant_get("v", "$.generated_filename", "string"))
+    rows = lines.select(F.lit("").alias("strategy"), name.alias("file_name"), F.lit("").alias("relative_path"), F.to_json(F.try_variant_get("v", "$.result", "variant")).alias("raw_text"))
+    return complete(validated(rows.where("file_name is not null"))).select("file_name").distinct()
+
+
+def restored_name(stem: Column) -> Column:
+    """Name of an untagged file: .tagged goes, else a last t."""
+    return F.when(stem.endswith(".tagged"), F.regexp_replace(stem, r"\.tagged$", "")).when(stem.endswith("t"), F.regexp_replace(stem, "t$", "")).otherwise(stem)
+
+
+def tagged_name(stem: Column) -> Column:
+    return F.concat(stem, F.lit("t.txt"))
+
+
+def case_text(content: Column) -> Column:
+    """A case as it goes into a prompt."""
+    return strip(decoded(content, lossy=True))
+
+
+def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
+    df.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
+
+
+def append_json(df: DataFrame, path: str) -> None:
+    """Records appended as one atomic job."""
+    df.write.mode("append").json(path)
+
+
+def write_texts(df: DataFrame, path: str) -> None:
+    """file_name, content -> Parquet by file name; one row is one file's whole content."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def patient_json(mentions: DataFrame) -> DataFrame:
+    """A JSON text for each file: its entities in order, models, and their number."""
+    entity = F.struct("start", "end", "model", "label", "text", "score")
+    grouped = mentions.groupBy("file_name").agg(F.array_sort(F.collect_list(entity)).alias("entities"), F.array_sort(F.collect_set("model")).alias("models"))
+    return grouped.select("file_name", F.to_json(F.struct("file_name", "models", F.size("entities").alias("num_entities"), "entities")).alias("json"))
+
+
+@dataclass(frozen=True)
+class ServiceConfig:
+    """What a run of a model service needs; nothing is read from globals."""
+
+    provider: str
+    model: str
+    base_url: str = ""
+    timeout_s: float = 600.0
+    attempts: int = 3
+    pause_s: float = 0.2
+    most_tokens: int = 6000
+    options: dict[str, Any] = field(default_factory=dict)
+
+
+def tri_state(text: str | None) -> bool | None:
+    """true, false, or not said."""
+    word = (text or "").strip().lower()
+    return True if word in ("1", "true", "yes", "si", "sí") else False if word in ("0", "false", "no") else None
+
+
+def json_options(text: str | None) -> dict[str, Any]:
+    """A JSON object of options; anything else is an error."""
+    found = json.loads(text) if text and text.strip() else {}
+    if not isinstance(found, dict):
+        raise ValueError("options must be a JSON object")
+    return found
