@@ -3,7 +3,8 @@
 Sizes are words. The mix holds SHARE times the words of all sources. A source's target is the least of its cap
 (EPOCHS times its size) and its weight times one common level; the level at which the targets fill the mix is where
 clamping at the cap and resharing the excess by weight comes to rest. With the sources in order of cap by weight, the
-level is found from running sums: the first source that isn't clamped fixes it.
+level is found from running sums: the first source that isn't clamped fixes it (clamping more of them only lowers it, so
+it is the highest level at which the source at hand stays below its cap).
 
 A source at target = r times its size takes floor(r) whole repetitions of every document and one more of a seeded
 choice of documents whose words come to the rest. Documents stand in the order of a seeded hash of doc_id and are
@@ -52,7 +53,7 @@ def targets(sources: DataFrame) -> DataFrame:
     clamped = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     open_weight = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     levels = capped.withColumn("level_here", (F.col("total") - clamped) / open_weight)
-    level = F.min(F.when(F.col("level_here") * F.col("weight") <= F.col("cap"), F.col("level_here"))).over(everyone)
+    level = F.max(F.when(F.col("level_here") * F.col("weight") <= F.col("cap"), F.col("level_here"))).over(everyone)
     reached = levels.withColumn("level", level)
     full = F.col("cap").cast("double")
     return reached.select("source", "source_size", F.when(F.col("level").isNull(), full).otherwise(F.least(F.col("level") * F.col("weight"), full)).alias("target"))
@@ -132,7 +133,7 @@ levels as (
   select *, (total - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)::double)
             / (sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following))::double as here
   from capped),
-level as (select *, min(case when here * weight <= cap then here end) over () as lv from levels),
+level as (select *, max(case when here * weight <= cap then here end) over () as lv from levels),
 aims as (select source, source_size, case when lv is null then cap::double else least(lv * weight, cap::double) end as target from level),
 parts as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from aims),
 places as (
