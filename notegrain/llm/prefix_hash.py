@@ -35,6 +35,8 @@ from notegrain.llm._common import checkpoint, id_and_text, small_batches, table
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 911382323)
 SPAN, SLOTS = 16, 64
+#: Ranges of doc_id at most: their bounds are kept by the driver. Larger inputs have larger ranges, sorted with spill.
+MOST_RANGES = 20_000
 _LADDER = [1]
 while _LADDER[-1] < 1 << 40:
     _LADDER.append(max(_LADDER[-1] + 1, _LADDER[-1] * 5 // 4))
@@ -143,7 +145,7 @@ def _neighbours(docs: DataFrame, range_bytes: int) -> DataFrame:
     rows = id_and_text(docs)
     light = rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
     total = light.agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).first()
-    ranges = max(1, min(int((total.bytes or 0) // range_bytes) + 1, total.rows // 8 + 1)) if total else 1
+    ranges = max(1, min(int((total.bytes or 0) // range_bytes) + 1, total.rows // 8 + 1, MOST_RANGES)) if total else 1
     probabilities = [k / ranges for k in range(1, ranges)]
     bounds = sorted(set(rows.where("doc_id is not null").approxQuantile("doc_id", probabilities, 0.2 / ranges))) if probabilities else []
     edges = np.array(bounds, np.float64)
@@ -156,7 +158,7 @@ def _neighbours(docs: DataFrame, range_bytes: int) -> DataFrame:
 
     dealt = rows.withColumn("area", area_of("doc_id"))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # a row for each range; the ranges' number is bounded by bytes / range_bytes
+    # a row for each range, at most MOST_RANGES
     firsts = checkpoint(dealt.groupBy("area").agg(F.min(order).alias("first")))
     present = sorted(r.area for r in firsts.select("area").collect())
     before = {a: present[k - 1] for k, a in enumerate(present)}

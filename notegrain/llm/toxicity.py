@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: labels are known for documents, scores are made for sentences.
 
-A document is the bag of its sentences. Each sentence has a probability (logistic in its distinct words and
-their beginnings); the document's is their noisy-or, 1 - prod(1 - p). The weights are fitted to document labels only, by descent on the bags' likelihood
-with an L1 pull to zero, so the words that tell the labels apart keep weights and the sentences holding them are found.
+A document is the bag of its sentences. Each sentence has a probability (logistic in its distinct words and their
+beginnings); the document's is their noisy-or, 1 - prod(1 - p). The weights are fitted to document labels only, by
+descent on the bags' likelihood with an L1 pull to zero, so the words that tell the labels apart keep weights and the
+sentences holding them are found.
 
 The fit uses a bounded sample of the labelled training rows: at most SAMPLE of each label, chosen by hash of doc_id.
 Its words are counted on the executors; the driver gets at most VOCABULARY words and, for each sampled document, the
