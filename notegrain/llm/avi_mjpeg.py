@@ -101,8 +101,6 @@ class _Huffman:
                 self.lookup[length, code] = symbols[at]
                 code, at = code + 1, at + 1
             code <<= 1
-        # whether each code and its extra bits take nine bits in all
-        self.nine = all(length + s == _BITS for (length, _), s in self.lookup.items())
         self.shape = (bytes(lengths), bytes(symbols))
 
 
