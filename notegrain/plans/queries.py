@@ -384,15 +384,33 @@ def generation_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.run_log(fixture(spark, sf_dir, "answers"), SYSTEM, TEMPLATE).groupBy("status").agg(F.count("*").alias("notes"))
 
 
-@_query()
-def judge_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judging.validated(fixture(spark, sf_dir, "judged"))
+_JUDGED = (
+    ", pl as (select strategy, file_name, relative_path, trim(regexp_replace(raw_text, '<think>.*?</think>', '', 'gs')) as t from judged), "
+    "js as (select strategy, file_name, relative_path, try_cast(case when json_valid(t) then t else regexp_extract(t, '\\{.*\\}', 0, 's') end as json) as v from pl) "
+)
 
 
-_JUDGED = (
-    ", pl as (select strategy, file_name, trim(regexp_replace(raw_text, '<think>.*?</think>', '', 'gs')) as t from judged), "
-    "js as (select strategy, file_name, try_cast(case when json_valid(t) then t else regexp_extract(t, '\\{.*\\}', 0, 's') end as json) as v from pl) "
+def _score_columns(key: str) -> str:
+    number = f"try_cast(json_extract_string(v, '$.{key}.score') as integer)"
+    words = f"json_extract_string(v, '$.{key}.justification')"
+    kind = f"json_type(v, '$.{key}.justification')"
+    return f"case when {number} between 1 and 5 then {number} end as {key}_score, case when {number} = 5 or {kind} is distinct from 'VARCHAR' then '' else trim({words}) end as {key}_justification"
+
+
+def _flag_column(key: str) -> str:
+    kind, word = f"json_type(v, '$.{key}')", f"json_extract_string(v, '$.{key}')"
+    return f"case {kind} when 'VARCHAR' then lower(trim({word})) in ('true', '1', 'yes', 'si', 'sí') when 'BOOLEAN' then {word} = 'true' else coalesce(try_cast({word} as double) <> 0, false) end as {key}"
+
+
+@_query(
+    _JUDGED
+    + "select strategy, file_name, relative_path, case when v is null then 'invalid_json' when json_type(v) <> 'OBJECT' then 'unexpected_type' end as parse_error, "
+    + ", ".join([*map(_score_columns, judging.SCORES), *map(_flag_column, judging.FLAGS)])
+    + " from js",
+    ("judged",),
 )
+def judge_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judging.validated(fixture(spark, sf_dir, "judged"))
 
 
 @_query(
