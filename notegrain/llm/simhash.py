@@ -1,7 +1,7 @@
 """Near-duplicates by SimHash, BK-trees and connected components.
 
 Fingerprints: A-Z lower-cased, words cut at ASCII white space, word shingles (repeats included), XXH64 with seed 42,
-majority of each bit. Equal fingerprints are one node, named by its smallest doc_id, before anything is compared.
+majority of each bit. Equal fingerprints are one node, named by the fingerprint, before anything is compared.
 
 Links: 64 bits are cut into six blocks. Two fingerprints that differ in at most four bits agree on at least two whole
 blocks, so every pair to be linked meets in one of the 15 shards that two blocks' values name. Each shard becomes a
@@ -15,8 +15,8 @@ Components: links are contracted by alternating large-star and small-star rounds
 smallest one it can reach. Nothing is collected but one count per round.
 
 Defined results: a null, empty or white-space text has fingerprint zero and is linked as any other; repeated rows and
-equal texts share their component; a null doc_id never names a component, and one whose group has no other id gets a
-null component; an empty table gives an empty table; very long texts are taken whole.
+equal texts share their component; rows without doc_id are linked as any other, but name no component: one whose group
+has no id at all gets a null component; an empty table gives an empty table; very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrain.llm._common import checkpoint, id_and_text, small_batches, table
@@ -129,15 +129,15 @@ def group_links(tree_side: list[tuple[int, int]], search_side: list[tuple[int, i
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of each row."""
+    """doc_id, text_hash (XXH64 of the text as it is), fp (the fingerprint as a signed long) of each row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [simhash(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def block_masks(radius: int = RADIUS) -> list[int]:
@@ -213,28 +213,42 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def grouped(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, width: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fp), and each fingerprint's group: fp, component (a fingerprint), first.
+
+    first is the fingerprint's first document: (without_id, doc_id, text_hash), least doc_id first, rows without id last.
+    """
+    prints = checkpoint(fingerprints(docs, width))
+    member = F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "text_hash")
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min(member).alias("first")))
+    found = components(links(nodes.select("fp", F.col("fp").alias("node")), radius, shard_rows)).withColumnRenamed("node", "fp")
+    return prints, nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, width: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of each row."""
-    prints = checkpoint(fingerprints(docs, width))
-    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(nodes.where("node is not null"), radius, shard_rows))
-    moved = nodes.join(found, "node").select("fp", "component")
-    hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", hex_digits.alias("fingerprint"), "component_id")
+    prints, groups = grouped(docs, radius, shard_rows, width)
+    least = groups.groupBy("component").agg(F.min("first").alias("first")).select("component", F.col("first.doc_id").alias("component_id"))
+    named = groups.join(least, "component").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents' rows, one of each group of near-duplicates: the one with the smallest doc_id.
 
-    Among rows that repeat that doc_id one is kept; rows without doc_id in a group with no other id are kept.
+    Rows without doc_id come after all others. Rows that repeat id and text are one document; the least by a hash of all
+    columns stays. They are merged before the one shuffle of texts, so a document that is repeated often is no hot key.
     """
-    judged = near_duplicates(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    columns = docs.columns
-    kept = docs.join(judged.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*columns)))
-    ranked = kept.withColumn("rank of a repeated row", rank)
-    return ranked.where(F.col("doc_id").isNull() | (F.col("rank of a repeated row") == 1)).select(*columns)
+    chosen = grouped(docs)[1].groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    names = [f"column {k}" for k in range(len(docs.columns))]
+    column = dict(zip(docs.columns, names, strict=True))
+    doc_id = F.col(column["doc_id"]).cast("long")
+    # the id without nulls, so that grouping and join agree on the partitioning
+    keys = {"without_id": doc_id.isNull(), "known_id": F.coalesce(doc_id, F.lit(0)), "text_hash": F.xxhash64(F.col(column["text"]).cast("string"))}
+    documents = docs.toDF(*names).groupBy(*[v.alias(k) for k, v in keys.items()]).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row"))
+    chosen = chosen.select("without_id", F.coalesce("doc_id", F.lit(0)).alias("known_id"), "text_hash")
+    # an inner join: a semi-join would be moved below the merging of repeated rows
+    return documents.join(chosen, list(keys)).select("row.*").toDF(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

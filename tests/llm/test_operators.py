@@ -344,6 +344,28 @@ def test_simhash_query(docs, empty, spark):
     kept = simhash.keep_one(docs)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and Counter(i for i in ids if i is not None) == Counter(set(wanted.values()))
+    assert ids.count(None) == 1  # its text is like no other
+
+
+def test_simhash_rows_without_id_and_repeated_ids(spark):
+    rnd = random.Random(5)
+    base = [rnd.choice("abcdefgh") * 3 + str(rnd.randrange(50)) for _ in range(400)]
+    texts = [" ".join(base)]
+    while len(texts) < 3:  # a chain: each text links to the next, the ends don't
+        last = brute_simhash(texts[-1])
+        tried = " ".join([*texts[-1].split(), rnd.choice("xyz") + str(rnd.randrange(9))])
+        far = (brute_simhash(tried) ^ brute_simhash(texts[0])).bit_count()
+        if (brute_simhash(tried) ^ last).bit_count() <= 4 and (far > 4 or len(texts) == 1 and far):
+            texts.append(tried)
+        elif (brute_simhash(tried) ^ last).bit_count() <= 4:
+            texts[-1] = tried if len(texts) > 1 else texts[-1]
+    other, lonely = " ".join(reversed(base)), "all alone here with nobody like it"
+    rows = [(7, texts[0]), (None, texts[1]), (9, texts[2]), (9, other), (9, other), (None, lonely), (None, lonely)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, row string")
+    found = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert found == {(i, f"{brute_simhash(t):016x}", 7 if t in texts else 9 if t == other else None) for i, t in rows}
+    kept = Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+    assert kept == Counter([(7, texts[0]), (9, other), (None, lonely)])
 
 
 def test_links_in_chunks_connect_what_brute_force_does(spark):
