@@ -11,6 +11,10 @@ the corpus; their members travel by the shuffle to the task that builds the tree
 chunks whose trees are searched chunk by chunk, in as many groups, so no task holds more than two chunks; nothing is
 dropped. Each group reports a spanning forest of its links, at most one link for each member.
 
+Near copies (keep_one, the pipeline's stage) are another rule: five-word shingles with an exact Jaccard similarity of 0.8
+or more. Such pairs differ in some 10 of 64 bits, often 14, and no pigeonhole of shards finds that radius in a large corpus,
+so candidates come from MinHash bands, and every link is verified on the whole sets of shingles.
+
 Components: links are contracted by alternating large-star and small-star rounds until every node points at the
 smallest one it can reach. Nothing is collected but one count per round.
 
@@ -36,6 +40,12 @@ RADIUS = 4
 SHINGLE_WORDS = 4
 #: Members of a shard's tree at most; larger shards are cut into chunks.
 SHARD_ROWS = 1024
+#: Near copies (keep_one): words of a shingle and Jaccard similarity from which on two texts are linked.
+COPY_WORDS, COPY_JACCARD = 5, 0.8
+#: Bands and their rows: two texts of similarity 0.8 share a band with probability 0.9996, of 0.5 with 0.34.
+BANDS, BAND_ROWS = 26, 6
+#: Bits of the filter for texts that have candidates.
+FILTER_BITS = 1 << 26
 #: Shingles hashed at a time, to bound memory on very long texts.
 _STEP = 1 << 15
 
@@ -233,13 +243,136 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, width: int = COPY_WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 of a text's word shingles, cut as simhash cuts them; none for a text without words."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    digest, joined = xxhash.xxh64_digest, b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = list(zip(starts.tolist(), ends[width - 1 :].tolist(), strict=False)) if len(words) >= width else [(0, len(joined))] * bool(words)
+    parts = [np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in spans[at : at + _STEP]]), ">u8") for at in range(0, len(spans), _STEP)]
+    return np.unique(np.concatenate(parts).astype(np.uint64)) if parts else np.zeros(0, np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float = COPY_JACCARD) -> bool:
+    """Whether the exact Jaccard similarity of two sorted sets is at least so much; two empty sets are equal."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if len(small) < least * len(large):
+        return False
+    if not len(large):
+        return True
+    at = np.minimum(large.searchsorted(small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return common >= least * (len(small) + len(large) - common)
+
+
+def band_keys(shingles: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """One hash of each band of the set's least values under bands * rows keyed orders."""
+    seeds = np.random.default_rng(SEED).integers(0, 1 << 63, (2, bands * rows), np.int64).astype(np.uint64)
+    odd, shift = (seeds[0] << np.uint64(1) | np.uint64(1))[:, None], seeds[1][:, None]
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), _STEP >> 3):
+        np.minimum(least, (shingles[at : at + (_STEP >> 3)] * odd + shift).min(1), out=least)
+    key = np.zeros(bands, np.uint64)
+    for column in least.reshape(bands, rows).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def copy_links(own: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]] | None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of (node, shingles) that are alike, or of those between the two sides."""
+    forest, out = _Forest(), []
+    for k, (node, shingles) in enumerate(own if others is None else others):
+        for other, theirs in own[:k] if others is None else own:
+            if forest.find(other) != forest.find(node) and alike(shingles, theirs):
+                forest.join(other, node)
+                out.append((min(other, node), max(other, node)))
+    return out
+
+
+def _maybe_in(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits that has the bits of all nodes set; bounded, so it can travel with the tasks."""
+    bit = F.pmod("node", F.lit(FILTER_BITS))
+    found = nodes.groupBy(F.shiftright(bit, 5).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}L) & 31 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 5, np.uint32)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def copies(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Each distinct text's group: node (its XXH64), component (a node), first (as in grouped).
+
+    Texts whose five-word shingles have a Jaccard similarity of COPY_JACCARD or more are linked. Candidates share a band
+    of least values; whoever is reached by candidates is a cluster, and within a cluster all pairs are compared by their
+    exact similarity, in chunks as the shards are. Shingles travel once for each chunk, and only those of clusters.
+    """
+    small_batches(docs.sparkSession)
+    texts = id_and_text(docs).withColumn("node", F.xxhash64("text"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [band_keys(shingle_set(t.as_py())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+
+    member = F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", F.col("node").alias("text_hash"))
+    rows = texts.mapInArrow(keyed, "doc_id long, node long, keys array<long>")
+    nodes = checkpoint(rows.groupBy("node").agg(F.min(member).alias("first"), F.min("keys").alias("keys")))
+    bands = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    least = bands.groupBy("band", "key").agg(F.min("node").alias("u"), F.count("*").alias("size")).where("size > 1")
+    near = components(bands.join(least, ["band", "key"]).where("u < node").select("u", F.col("node").alias("v")).distinct())
+    clusters = checkpoint(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()))
+    maybe = docs.sparkSession.sparkContext.broadcast(_maybe_in(clusters))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.mod(batch.column(2).to_numpy(), FILTER_BITS)
+            chosen = np.flatnonzero(maybe.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1)
+            sets = [shingle_set(batch.column(1)[k].as_py()).tobytes() for k in chosen.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(chosen)), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    # repeated texts are merged on the map side
+    sets = texts.mapInArrow(held, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")
+    shared = clusters.join(sizes, "component").withColumn("own", own).join(sets, "node")
+    dealt = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("searches"), "node", "shingles")
+    ordered = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "searches", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, found = None, ([], []), []
+
+        def close() -> None:
+            if now is not None:
+                found.extend(copy_links(sides[0], sides[1] if now[1] != now[2] else None))
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for component, lo, hi, searches, node, shingles in zip(*columns, strict=True):
+                if (component, lo, hi) != now:
+                    close()
+                    now, sides = (component, lo, hi), ([], [])
+                sides[searches].append((node, np.frombuffer(shingles, np.uint64)))
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found.clear()
+        close()
+        yield _pairs(found)
+
+    found = components(ordered.mapInArrow(run, "u long, v long").distinct())
+    return nodes.select("node", "first").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents' rows, one of each group of near-duplicates: the one with the smallest doc_id.
+    """The documents' rows, one of each group of near copies (see copies): the one with the smallest doc_id.
 
     Rows without doc_id come after all others. Rows that repeat id and text are one document; the least by a hash of all
     columns stays. They are merged before the one shuffle of texts, so a document that is repeated often is no hot key.
     """
-    chosen = grouped(docs)[1].groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    chosen = copies(docs).groupBy("component").agg(F.min("first").alias("first")).select("first.*")
     names = [f"column {k}" for k in range(len(docs.columns))]
     column = dict(zip(docs.columns, names, strict=True))
     doc_id = F.col(column["doc_id"]).cast("long")
