@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: labels are known for documents, scores are made for sentences.
 
 A document is the bag of its sentences. Each sentence has a probability (logistic in its distinct words and their
-beginnings); the document's is their noisy-or, 1 - prod(1 - p). The weights are fitted to document labels only, by
+beginnings); the document's is their noisy-or, 1 - prod(1 - p). A score takes the odds above the base rate, in the worst run
+of WINDOW sentences, so that background doesn't add up with a document's length. The weights are fitted to document labels only, by
 descent on the bags' likelihood with an L1 pull to zero, so the words that tell the labels apart keep weights and the
 sentences holding them are found.
 
@@ -9,7 +10,7 @@ The fit uses a bounded sample of the labelled training rows: at most SAMPLE of e
 Its words are counted on the executors; the driver gets at most VOCABULARY words and, for each sampled document, the
 places of those words. Scoring is one pass over whole texts with no shuffle.
 
-Defined results: a null or empty text is one empty sentence and scores the base rate; without labelled rows of both
+Defined results: a null or empty text is one empty sentence and scores 0; without labelled rows of both
 kinds every score is 0; repeated label rows of a document count once, as the largest label; null labels and null ids
 don't count; repeated documents are scored alike; an empty table gives an empty table.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ VOCABULARY = 4096
 LEAST_DOCUMENTS = 4
 #: A document is predicted toxic from this score on; a sentence is reported from this one on.
 THRESHOLD, SENTENCE_THRESHOLD = 0.7, 0.5
+#: Sentences that are combined at a time.
+WINDOW = 40
 #: Lengths of word beginnings.
 STEMS = (5, 7)
 _STEPS, _L1, _RATE = 400, 2e-4, 0.1
@@ -142,22 +146,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[float
 
 
 def sentence_scores(text: str | None, bias: float, weights: dict[str, float]) -> tuple[float, list[tuple[int, int, float]]]:
-    """The document's noisy-or, and (start, end, score) of its offending sentences."""
+    """The largest noisy-or of WINDOW sentences in a row, and (start, end, score) of the offending sentences."""
     if bias == -math.inf:
         return 0.0, []
-    log_clean, offending, known = 0.0, [], weights.keys()
+    offending, known = [], weights.keys()
     base = math.log1p(math.exp(bias))
-    for start, sentence in sentences(text):
+    window: deque[tuple[int, float]] = deque()
+    now = most = 0.0
+    for k, (start, sentence) in enumerate(sentences(text)):
         hits = known & words(sentence)
-        if not hits:
-            log_clean -= base
-            continue
         z = bias + sum(weights[w] for w in hits)
-        log_clean -= math.log1p(math.exp(z)) if z < 30 else z
+        odds = (math.log1p(math.exp(z)) if z < 30 else z) - base if hits else 0.0
+        if odds <= 0:
+            continue
+        window.append((k, odds))
+        now += odds
+        while window[0][0] <= k - WINDOW:
+            now -= window.popleft()[1]
+        most = max(most, now)
         p = 1 / (1 + math.exp(-z)) if z > -30 else 0.0
         if p >= SENTENCE_THRESHOLD:
             offending.append((start, start + len(sentence), p))
-    return -math.expm1(log_clean), offending
+    return -math.expm1(-most), offending
 
 
 def score(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
