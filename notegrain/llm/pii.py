@@ -52,9 +52,11 @@ FAMILY = {
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Sr": "m", "Sra": "f", "Srta": "f", "Herr": "m", "Frau": "f", "Madame": "f", "Monsieur": "m", "Prof": ""}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: The one secret that needs no digit.
+QUOTED_SECRET = re.compile(r"(?i:token|key|secret|password)\s?[=:]\s?[\"'](?P<value>[A-Za-z0-9_\-]{12,})[\"']")
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])")),
-    ("secret", re.compile(r"(?i:token|key|secret|password)\s?[=:]\s?[\"'](?P<value>[A-Za-z0-9_\-]{12,})[\"']")),
+    ("secret", QUOTED_SECRET),
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?P<value>[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])")),
     ("ip", re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)")),
     ("card", re.compile(r"(?<![\d.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\d]|[.-]\d)")),
@@ -80,11 +82,12 @@ def find_entities(text: str) -> list[Entity]:
     taken: list[Entity] = []
     digits = re.search(r"\d", text) is not None
     # what must be in a text for a pattern to be worth trying
+    quoted = ("=" in text or ":" in text) and ('"' in text or "'" in text)
     worth = {"email": "@" in text, "secret": digits, "ip": digits, "card": digits, "phone": digits, "name": any(t in text for t in TITLES)}
     free = text
     for kind, pattern in PATTERNS:
         before = len(taken)
-        for m in pattern.finditer(free) if worth[kind] else ():
+        for m in pattern.finditer(free) if (quoted if pattern is QUOTED_SECRET else worth[kind]) else ():
             group = "value" if "value" in pattern.groupindex else 0
             start, end = m.span(group)
             plain_hex = kind == "secret" and m.span() == m.span(group)
