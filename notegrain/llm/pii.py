@@ -219,30 +219,41 @@ def _script(word: str) -> str:
     return "greek" if 0x370 <= point < 0x400 or 0x1F00 <= point < 0x2000 else "cyrillic" if 0x400 <= point < 0x530 else "latin"
 
 
-def _name_word(word: str, names: list[str], key: bytes, tweak: str) -> str:
-    """A listed name becomes another of its list; others keep letters, length and script."""
-    if word in names:
-        return names[_permuted(names.index(word), len(names), key, tweak)]
-    low = {"greek": "αβγδεζηθικλμνξοπρστυφχψω", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "latin": "abcdefghijklmnopqrstuvwxyz"}[_script(word)]
+def _unlisted(word: str, script: str, listed: set[str], key: bytes, tweak: str) -> str:
+    """Letters, length and script stay; walked on past listed names, so that it is a permutation of all others."""
+    low = {"greek": "αβγδεζηθικλμνξοπρστυφχψω", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "latin": "abcdefghijklmnopqrstuvwxyz"}[script]
     made = _alphanumeric(word, key, tweak, low)
-    while made in names:  # a list's names are the images of its own
+    while made in listed:
         made = _alphanumeric(made, key, tweak, low)
     return made
 
 
-def _name(mention: str, gender: str, key: bytes) -> str:
-    script = _script(mention)
-    words = mention.split(" ")
-    if len(words) == 1:
-        # after a title a single word is a family name, unless it is a listed given name
-        for g in "fm":
-            if mention in NAMES[g, script]:
-                return _name_word(mention, NAMES[g, script], key, f"given{g}{script}")
-        return _name_word(mention, FAMILY[script], key, f"family{script}")
-    own = gender or next((g for g in "fm" if words[0] in NAMES[g, script]), "f")
-    if words[0] in NAMES["m" if own == "f" else "f", script]:
-        own = "m" if own == "f" else "f"  # the name itself tells
-    return _name_word(words[0], NAMES[own, script], key, f"given{own}{script}") + " " + _name_word(words[1], FAMILY[script], key, f"family{script}")
+def _listed(word: str, names: list[str], key: bytes, tweak: str) -> str:
+    return names[_permuted(names.index(word), len(names), key, tweak)]
+
+
+def _given(word: str, key: bytes) -> str:
+    """A listed given name becomes one of its gender; all others have one permutation, whatever the title tells."""
+    script = _script(word)
+    for g in "fm":
+        if word in NAMES[g, script]:
+            return _listed(word, NAMES[g, script], key, f"given{g}{script}")
+    return _unlisted(word, script, {*NAMES["f", script], *NAMES["m", script]}, key, f"given{script}")
+
+
+def _family(word: str, key: bytes) -> str:
+    """A family name, or a word alone after a title; a listed given name in its place stays one."""
+    script = _script(word)
+    if word in FAMILY[script]:
+        return _listed(word, FAMILY[script], key, f"family{script}")
+    if word in NAMES["f", script] or word in NAMES["m", script]:
+        return _given(word, key)
+    return _unlisted(word, script, {*FAMILY[script], *NAMES["f", script], *NAMES["m", script]}, key, f"family{script}")
+
+
+def _name(mention: str, key: bytes) -> str:
+    first, blank, last = mention.partition(" ")
+    return _given(first, key) + blank + _family(last, key) if blank else _family(first, key)
 
 
 def surrogate(entity: Entity, key: bytes = KEY) -> str:
@@ -254,7 +265,7 @@ def surrogate(entity: Entity, key: bytes = KEY) -> str:
     if entity.kind == "secret":
         return _hex(text, key) if re.fullmatch(r"[0-9a-f]{12,}|[0-9A-F]{12,}", text) and not text.isdigit() else _alphanumeric(text, key, "secret")
     if entity.kind == "name":
-        return _name(text, entity.gender, key)
+        return _name(text, key)
     return {"ip": _ip, "card": _card, "phone": _phone}[entity.kind](text, key)
 
 
@@ -268,6 +279,7 @@ class Collisions:
         if len(self.given) >= self.most:
             self.given.clear()
         form = mention.lower() if kind in ("email", "secret") else re.sub(r"\D", "", mention) if kind in ("card", "phone") else mention
+        form = ".".join(str(int(p)) for p in mention.split(".")) if kind == "ip" else form
         other = self.given.setdefault((kind, replacement.lower() if kind in ("email", "secret") else replacement), form)
         if other != form:
             raise AssertionError(f"two entities of type {kind} share a surrogate")
@@ -309,9 +321,11 @@ def replace_in_rows(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """The documents' rows with surrogates in their texts; n_chars, where there is such a column, follows the text."""
     small_batches(docs.sparkSession)
 
+    seen = Collisions()  # each task has its own copy
+
     @F.pandas_udf("string")
     def replaced(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: replace(t, key)[0], na_action="ignore")
+        return texts.map(lambda t: replace(t, key, seen)[0], na_action="ignore")
 
     columns = docs.columns
     out = docs.withColumn("text", replaced(F.col("text").cast("string")))

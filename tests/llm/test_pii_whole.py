@@ -1,5 +1,10 @@
 """Mentions that the given tables don't hold."""
 
+import itertools
+import string
+
+import pytest
+
 from notegrain.llm import pii
 
 
@@ -11,3 +16,24 @@ def test_secret_of_letters_in_a_text_without_digits(spark):
     assert pii.replace("Token: 'abcdefabcdefabcdef'")[1] and not pii.replace("no key: here, it's plain")[1]
     row = pii.replace_in_rows(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.text == replaced
+
+
+def test_names_stay_apart_across_genders():
+    names = ["".join(p).capitalize() for p in itertools.product(string.ascii_lowercase, repeat=2)] + pii.NAMES["f", "latin"] + pii.NAMES["m", "latin"]
+    seen = {}
+    for title, name in itertools.product(("Mr", "Mrs", "Dr"), names):
+        new = pii.replace(f"{title} {name} Silva")[1][0][3]
+        assert seen.setdefault(new, name) == name
+    alone = [pii.replace(f"Dr {n}")[1][0][3] for n in names + pii.FAMILY["latin"]]
+    assert len(set(alone)) == len(alone)
+
+
+def test_pipeline_stage_checks_collisions(spark, monkeypatch):
+    seen = pii.Collisions()
+    for mention in ("10.0.0.1", "10.0.0.01"):  # one address
+        pii.replace(mention, seen=seen)
+    text = "mail a.b@c1.example.org"
+    seen.add("email", "other@c1.example.org", pii.replace(text)[1][0][3])
+    monkeypatch.setattr(pii, "Collisions", lambda: seen)  # as if another entity had got its surrogate
+    with pytest.raises(Exception, match="share a surrogate"):
+        pii.replace_in_rows(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
