@@ -1,8 +1,10 @@
 """AVI motion-JPEG columns: RIFF parsing, intra-frame decoding and shot detection.
 
-Reading: the RIFF tree is walked, frames come from the ``idx1`` index (from the ``movi`` list where there is none), and
-each frame is decoded by itself. Frames may be lossless JPEG (SOF3, any predictor, any Huffman table) or baseline (SOF0,
-the usual motion-JPEG, its luma). Shots: a frame whose histogram differs from the one before by more than the running
+Reading: the RIFF tree is walked without recursion, frames come from the ``idx1`` index (from the ``movi`` list where
+there is none), and each frame is decoded by itself. Frames may be lossless JPEG (SOF3, any predictor, any Huffman table) or
+baseline (SOF0, the usual motion-JPEG, its luma; the standard's Huffman tables where the frame brings none), with restart
+intervals or without. Pictures that claim more samples than their scan has bits for are refused before any memory is
+taken for them. Frames become histograms a few at a time. Shots: a frame whose histogram differs from the one before by more than the running
 mean plus SIGMAS deviations of the differences in its shot starts a new shot; each shot is a clip with start and end time.
 
 Writing: bytes become 8-bit grey samples of WIDTH x HEIGHT frames in lossless JPEG, predictor 1 (left neighbour).
@@ -12,7 +14,8 @@ bits. So each sample takes nine bits, all bytes are recovered exactly, and the w
 the last frame is filled up with zeros.
 
 Defined results: null and empty texts have a payload of 64 zero bytes; equal texts give equal files and features;
-repeated rows are judged alike; an empty table gives an empty table; long texts become more frames, one text at a time.
+repeated rows are judged alike; an empty table gives an empty table; long texts become more frames, one text at a time. A
+file that is null, damaged, of another kind, or of frames that aren't all of one size has no clips and fails nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -28,12 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegrain.llm._common import id_and_text, small_batches, table
+from notegrain.llm._common import id_and_text, pieces, table
 
 WIDTH, HEIGHT = 32, 32
 FRAMES_PER_SECOND = 25
 SIGMAS, LEAST_DIFFERENCE, BINS = 3.0, 0.10, 16
 _BITS = 9
+#: Frames that are decoded at a time.
+_FRAMES_AT_ONCE = 256
+#: The JPEG standard's Huffman tables for frames without their own: codes of each length, and the symbols' beginning;
+#: the other symbols (runs of 0 to 15 zeros with sizes of 1 to 10) follow in ascending order. Class and number of the table first.
+_STANDARD = {
+    0x00: ("00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x01: ("00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x10: ("00 02 01 03 03 02 04 03 05 05 04 04 00 00 01 7d", "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"),
+    0x11: ("00 02 01 02 04 04 03 04 07 05 04 04 00 01 02 77", "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"),
+}
 
 
 def _category(difference: np.ndarray) -> np.ndarray:
@@ -90,43 +104,73 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return [head + scan.tobytes().replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for scan in scans]
 
 
-class _Huffman:
-    """Codes of one table: (length, code) to symbol."""
+class _Huffman(NamedTuple):
+    """A table: codes of each length, and the symbols in order."""
 
-    def __init__(self, lengths: bytes, symbols: bytes):
-        self.lookup: dict[tuple[int, int], int] = {}
-        code = at = 0
-        for length, count in enumerate(lengths, 1):
-            for _ in range(count):
-                self.lookup[length, code] = symbols[at]
-                code, at = code + 1, at + 1
-            code <<= 1
-        self.shape = (bytes(lengths), bytes(symbols))
+    lengths: bytes
+    symbols: bytes
 
 
-_FAST_SHAPE = (bytes([1] * 9 + [0] * 7), bytes(range(8, -1, -1)))
+@cache
+def _lookup(table_: _Huffman) -> list[int]:
+    """For every 16 bits: length of the code they begin with, times 256, plus its symbol; 0 where there is none."""
+    out = np.zeros(1 << 16, np.int64)
+    code = at = 0
+    for length, count in enumerate(table_.lengths, 1):
+        for _ in range(count):
+            if at >= len(table_.symbols) or code >> length:
+                raise ValueError("a Huffman table that doesn't add up")
+            out[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | table_.symbols[at]
+            code, at = code + 1, at + 1
+        code <<= 1
+    return out.tolist()
+
+
+@cache
+def _standard_tables() -> dict[int, _Huffman]:
+    every = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    out = {}
+    for name, (lengths, head) in _STANDARD.items():
+        first = list(bytes.fromhex(head))
+        rest = sorted(set(every) - set(first)) if name >> 4 else []
+        out[name] = _Huffman(bytes.fromhex(lengths), bytes(first + rest))
+    return out
+
+
+_FAST = _Huffman(bytes([1] * 9 + [0] * 7), bytes(range(8, -1, -1)))
 
 
 class _Bits:
-    """A scan's bits, read one code at a time."""
+    """A scan's bits, read a few at a time; each byte is touched once."""
 
     def __init__(self, scan: bytes):
-        self.value = int.from_bytes(scan, "big")
-        self.left = len(scan) * 8
+        self.scan, self.at = scan, 0
+        self.value = self.held = 0
+
+    def _hold(self, n: int) -> None:
+        while self.held < n:
+            more = self.scan[self.at : self.at + 8]
+            self.at += 8
+            # past the end there are zeros; taking them is an error
+            self.value = self.value << 64 | int.from_bytes(more.ljust(8, b"\0"), "big")
+            self.held += 64
 
     def take(self, n: int) -> int:
-        self.left -= n
-        if self.left < 0:
+        self._hold(n)
+        self.held -= n
+        out = self.value >> self.held
+        self.value &= (1 << self.held) - 1
+        if self.at * 8 - self.held > len(self.scan) * 8:
             raise ValueError("the scan ends early")
-        return (self.value >> self.left) & ((1 << n) - 1)
+        return out
 
-    def symbol(self, table_: _Huffman) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (length, code) in table_.lookup:
-                return table_.lookup[length, code]
-        raise ValueError("no such code")
+    def symbol(self, table_: list[int]) -> int:
+        self._hold(16)
+        found = table_[self.value >> (self.held - 16)]
+        if not found:
+            raise ValueError("no such code")
+        self.take(found >> 8)
+        return found & 255
 
     def number(self, size: int) -> int:
         value = self.take(size) if size else 0
@@ -144,15 +188,21 @@ class Jpeg(NamedTuple):
     quantisers: dict[int, list[int]]
     scan_components: list[tuple[int, int]]  # id, Huffman tables
     predictor: int
-    scan: bytes
+    interval: int  # units between restarts, 0: none
+    scans: list[bytes]  # between restarts, without stuffing
 
 
 def parse_jpeg(data: bytes) -> Jpeg:
-    """Markers up to the first scan, and the scan without stuffing."""
+    """Markers up to the first scan, and the scan."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    at, tables, quantisers, frame = 2, {}, {}, None
-    while True:
+    at, tables, quantisers, frame, interval = 2, dict(_standard_tables()), {}, None, 0
+    while at + 4 <= len(data):
+        if data[at] != 0xFF:
+            raise ValueError("no marker where one should be")
+        if data[at + 1] == 0xFF:  # filling
+            at += 1
+            continue
         marker, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
@@ -164,44 +214,79 @@ def parse_jpeg(data: bytes) -> Jpeg:
         elif marker == 0xDB:
             while body:
                 wide = body[0] >> 4
-                quantisers[body[0] & 15] = list(struct.unpack(">64H", body[1:129]) if wide else body[1:65])
+                quantisers[body[0] & 15] = list(struct.unpack(">64H", body[1:129]) if wide else struct.unpack("64B", body[1:65]))
                 body = body[129 if wide else 65 :]
         elif marker in (0xC0, 0xC1, 0xC3):
-            _, height, width, n = struct.unpack(">BHHB", body[:6])
+            bits, height, width, n = struct.unpack(">BHHB", body[:6])
+            if bits != 8 or not height or not width or not n:
+                raise ValueError("not a picture of 8 bits")
             frame = marker, height, width, [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
+        elif marker == 0xDD:
+            interval = struct.unpack(">H", body[:2])[0]
         elif marker == 0xDA:
-            parts = [(body[1 + 2 * k], body[2 + 2 * k]) for k in range(body[0])]
-            end = data.rfind(b"\xff\xd9")
-            scan = data[at : end if end >= at else len(data)].replace(b"\xff\x00", b"\xff")
             if frame is None:
                 raise ValueError("a scan without a frame")
-            return Jpeg(*frame, tables, quantisers, parts, body[1 + 2 * body[0]], scan)
-        elif marker == 0xDD and body != b"\x00\x00":
-            raise ValueError("restart intervals aren't read")
+            parts = [(body[1 + 2 * k], body[2 + 2 * k]) for k in range(body[0])]
+            return Jpeg(*frame, tables, quantisers, parts, body[1 + 2 * body[0]], interval, _scans(data, at))
+    raise ValueError("no scan")
+
+
+def _scans(data: bytes, at: int) -> list[bytes]:
+    """A scan's parts between restart markers, up to the next other marker."""
+    out, start = [], at
+    while True:
+        at = data.find(b"\xff", at)
+        if at < 0 or at + 1 >= len(data):
+            at = len(data)
+        elif data[at + 1] == 0:
+            at += 2
+            continue
+        out.append(data[start:at].replace(b"\xff\x00", b"\xff"))
+        if at + 1 >= len(data) or not 0xD0 <= data[at + 1] <= 0xD7:
+            return out
+        at = start = at + 2
+
+
+def _bits_of(jpeg: Jpeg) -> int:
+    return 8 * sum(map(len, jpeg.scans))
 
 
 def _lossless(jpeg: Jpeg) -> np.ndarray:
     table_ = jpeg.tables[jpeg.scan_components[0][1] >> 4]
     n, width = jpeg.height * jpeg.width, jpeg.width
-    if table_.shape == _FAST_SHAPE and jpeg.predictor == 1 and n % 8 == 0:
-        return decode_scans([jpeg.scan], jpeg.height, width)[0]
-    bits, out = _Bits(jpeg.scan), np.zeros((jpeg.height, width), np.int64)
+    if len(jpeg.scan_components) > 1 or n > _bits_of(jpeg):
+        raise ValueError("more samples than bits")
+    if table_ == _FAST and jpeg.predictor == 1 and n % 8 == 0 and len(jpeg.scans) == 1 and 8 * len(jpeg.scans[0]) >= 9 * n:
+        return decode_scans(jpeg.scans, jpeg.height, width)[0]
+    if jpeg.interval % width:
+        raise ValueError("a restart within a line")
+    lookup, lines = _lookup(table_), jpeg.interval // width or jpeg.height
+    out: list[list[int]] = []
     for y in range(jpeg.height):
+        if y % lines == 0:
+            if y // lines >= len(jpeg.scans):
+                raise ValueError("the scan ends early")
+            bits = _Bits(jpeg.scans[y // lines])
+        line: list[int] = []
+        above = out[-1] if y % lines else None
         for x in range(width):
-            if not y:
-                guess = out[0, x - 1] if x else 128
+            if above is None:  # a first line has no line above
+                guess = line[x - 1] if x else 128
             elif not x:
-                guess = out[y - 1, 0]
+                guess = above[0]
             else:
-                a, b, c = int(out[y, x - 1]), int(out[y - 1, x]), int(out[y - 1, x - 1])
+                a, b, c = line[x - 1], above[x], above[x - 1]
                 guess = (0, a, b, c, a + b - c, a + (b - c >> 1), b + (a - c >> 1), a + b >> 1)[jpeg.predictor]
-            out[y, x] = (guess + bits.number(bits.symbol(table_))) & 0xFFFF
-    return out.astype(np.uint8)
+            line.append((guess + bits.number(bits.symbol(lookup))) & 0xFFFF)
+        out.append(line)
+    return np.array(out).astype(np.uint8)
 
 
 def decode_scans(scans: list[bytes], height: int, width: int) -> np.ndarray:
     """Frames of nine-bit scans, all at once."""
     need = height * width * 9 // 8
+    if any(len(s) < need for s in scans):
+        raise ValueError("the scan ends early")
     raw = np.frombuffer(b"".join([s[:need] for s in scans]), np.uint8).reshape(len(scans), need // 9, 9).astype(np.uint16)
     symbols = np.empty((*raw.shape[:2], 8), np.uint16)
     for k in range(8):
@@ -218,32 +303,46 @@ def _zigzag() -> list[int]:
 
 
 def _baseline(jpeg: Jpeg) -> np.ndarray:
-    """Luma of a sequential DCT frame."""
+    """Luma (the first component) of a sequential DCT frame."""
     basis = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (0.5 if u else 0.5 / np.sqrt(2)) for u in range(8)] for x in range(8)])
-    bits, order, previous = _Bits(jpeg.scan), _zigzag(), dict.fromkeys((c[0] for c in jpeg.components), 0)
-    most_h, most_v = max(c[1] for c in jpeg.components), max(c[2] for c in jpeg.components)
-    across, down = -(-jpeg.width // (8 * most_h)), -(-jpeg.height // (8 * most_v))
-    tables = dict(jpeg.scan_components)
+    order, tables = _zigzag(), dict(jpeg.scan_components)
     first = jpeg.components[0]
-    out = np.zeros((down * first[2] * 8, across * first[1] * 8))
+    most_h, most_v = max(c[1] for c in jpeg.components), max(c[2] for c in jpeg.components)
+    if first[0] not in tables or (first[1], first[2]) != (most_h, most_v) or not most_h * most_v:
+        raise ValueError("no luma of full size in the first scan")
+    parts = [(c if len(tables) > 1 else (c[0], 1, 1, c[3])) for c in jpeg.components if c[0] in tables]
+    step_h, step_v = (most_h, most_v) if len(tables) > 1 else (1, 1)
+    across, down = -(-jpeg.width // (8 * step_h)), -(-jpeg.height // (8 * step_v))
+    if 2 * across * down > _bits_of(jpeg):  # a block takes two codes at least
+        raise ValueError("more blocks than bits")
+    coded = [(name, h, v, jpeg.quantisers[q], _lookup(jpeg.tables[tables[name] >> 4]), _lookup(jpeg.tables[16 + (tables[name] & 15)])) for name, h, v, q in parts]
+    blocks = np.zeros((down * step_v, across * step_h, 64))
+    interval = jpeg.interval or across * down
     for unit in range(across * down):
-        for name, h, v, quantiser in jpeg.components:
+        if unit % interval == 0:
+            if unit // interval >= len(jpeg.scans):
+                raise ValueError("the scan ends early")
+            bits, previous = _Bits(jpeg.scans[unit // interval]), dict.fromkeys(tables, 0)
+        for name, h, v, quantiser, dc, ac in coded:
             for block in range(h * v):
-                coefficients = np.zeros(64)
-                previous[name] += bits.number(bits.symbol(jpeg.tables[tables[name] >> 4]))
-                coefficients[0] = previous[name] * jpeg.quantisers[quantiser][0]
+                previous[name] += bits.number(bits.symbol(dc))
+                coefficients = blocks[unit // across * v + block // h, unit % across * h + block % h] if name == first[0] else None
+                if coefficients is not None:
+                    coefficients[0] = previous[name] * quantiser[0]
                 k = 1
                 while k < 64:
-                    symbol = bits.symbol(jpeg.tables[16 + (tables[name] & 15)])
+                    symbol = bits.symbol(ac)
                     if symbol == 0:
                         break
                     k += symbol >> 4
-                    if symbol & 15:
-                        coefficients[order[k]] = bits.number(symbol & 15) * jpeg.quantisers[quantiser][k]
+                    value = bits.number(symbol & 15)
+                    if k > 63:
+                        raise ValueError("a block of more than 64 coefficients")
+                    if coefficients is not None:
+                        coefficients[order[k]] = value * quantiser[k]
                     k += 1
-                if name == first[0]:
-                    y, x = (unit // across * v + block // h) * 8, (unit % across * h + block % h) * 8
-                    out[y : y + 8, x : x + 8] = basis @ coefficients.reshape(8, 8) @ basis.T
+    samples = basis @ blocks.reshape(*blocks.shape[:2], 8, 8) @ basis.T
+    out = samples.transpose(0, 2, 1, 3).reshape(blocks.shape[0] * 8, blocks.shape[1] * 8)
     return np.clip(np.rint(out + 128), 0, 255).astype(np.uint8)[: jpeg.height, : jpeg.width]
 
 
@@ -288,45 +387,47 @@ class Avi(NamedTuple):
 
 
 def read_avi(data: bytes) -> Avi:
-    """Walk the RIFF tree; frames by idx1, else in the order of the movi list."""
+    """Walk the RIFF tree; frames by idx1, else in the order of the movi list. What lies past the file's end is not there."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI")
     found: dict[str, bytes] = {}
     listed: list[tuple[int, int]] = []
     index: list[tuple[int, int]] = []
-    movi = 0
-
-    def walk(at: int, end: int) -> None:
-        nonlocal movi
-        while at + 8 <= end:
-            name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
-            if name == b"LIST":
-                if data[at + 8 : at + 12] == b"movi":
-                    movi = at + 8
-                walk(at + 12, min(end, at + 8 + size))
-            elif name[2:] in (b"dc", b"db"):
-                listed.append((at + 8, size))
-            elif name == b"idx1":
-                entries = struct.iter_unpack("<4sIII", data[at + 8 : at + 8 + size - size % 16])
-                index.extend((offset, length) for kind, _, offset, length in entries if kind[2:] in (b"dc", b"db"))
-            else:
-                found.setdefault(name.decode("latin-1"), data[at + 8 : at + 8 + size])
-            at += 8 + size + size % 2
-
-    walk(12, len(data))
+    movi, at = 0, 12
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
+        if name == b"LIST":  # its parts follow, one after another, and then what follows the list
+            if data[at + 8 : at + 12] == b"movi":
+                movi = at + 8
+            at += 12
+            continue
+        if name[2:] in (b"dc", b"db"):
+            listed.append((at + 8, size))
+        elif name == b"idx1":
+            whole = data[at + 8 : at + 8 + size]
+            entries = struct.iter_unpack("<4sIII", whole[: len(whole) - len(whole) % 16])
+            index.extend((offset, length) for kind, _, offset, length in entries if kind[2:] in (b"dc", b"db"))
+        else:
+            found.setdefault(name.decode("latin-1"), data[at + 8 : at + 8 + min(size, 1 << 16)])
+        at += 8 + size + size % 2
     # offsets count from the movi list's name, or in some files from the start of the file
     base = movi if index and data[movi + index[0][0] + 2 : movi + index[0][0] + 4] in (b"dc", b"db") else 0
     spans = [(base + offset + 8, length) for offset, length in index] or listed
     main = struct.unpack("<14I", found["avih"][:56])
-    return Avi(main[0], main[8], main[9], [data[a : a + n] for a, n in spans], found.get("ICMT", b"").rstrip(b"\x00"))
+    # frames of no bytes repeat the one before and are passed over
+    return Avi(main[0], main[8], main[9], [data[a : a + n] for a, n in spans if n], found.get("ICMT", b"").rstrip(b"\x00"))
 
 
-def decode_frames(avi: Avi) -> np.ndarray:
-    """All frames; those with the writer's header at once, others one by one."""
-    head = _head(avi.width, avi.height)
-    if avi.frames and avi.width * avi.height % 8 == 0 and all(f.startswith(head) for f in avi.frames):
-        return decode_scans([f[len(head) : -2].replace(b"\xff\x00", b"\xff") for f in avi.frames], avi.height, avi.width)
-    return np.stack([decode_frame(f) for f in avi.frames]) if avi.frames else np.zeros((0, avi.height, avi.width), np.uint8)
+def decode_frames(avi: Avi, start: int = 0, count: int | None = None) -> np.ndarray:
+    """Frames from start on; those with the writer's header at once, others one by one."""
+    chosen = avi.frames[start : None if count is None else start + count]
+    if not chosen:
+        return np.zeros((0, 0, 0), np.uint8)
+    if avi.width * avi.height % 8 == 0 and 0 < avi.width <= 0xFFFF and 0 < avi.height <= 0xFFFF:
+        head = _head(avi.width, avi.height)
+        if all(f.startswith(head) for f in chosen):
+            return decode_scans([f[len(head) : -2].replace(b"\xff\x00", b"\xff") for f in chosen], avi.height, avi.width)
+    return np.stack([decode_frame(f) for f in chosen])
 
 
 class Clip(NamedTuple):
@@ -338,14 +439,21 @@ class Clip(NamedTuple):
     end: float
 
 
-def find_shots(frames: np.ndarray, microseconds: int) -> list[Clip]:
-    """Cut where the histogram's change stands out against the shot's own changes so far."""
-    if not len(frames):
-        return []
+def histograms(frames: np.ndarray) -> np.ndarray:
+    """Share of each frame's samples in each bin."""
     n = len(frames)
+    if not n:
+        return np.zeros((0, BINS))
     flat = frames.reshape(n, -1).astype(np.int64) * BINS // 256 + np.arange(n)[:, None] * BINS
-    histograms = np.bincount(flat.ravel(), minlength=n * BINS).reshape(n, BINS) / frames[0].size
-    changes = np.abs(np.diff(histograms, axis=0)).sum(1) / 2
+    return np.bincount(flat.ravel(), minlength=n * BINS).reshape(n, BINS) / frames[0].size
+
+
+def find_shots(shares: np.ndarray, microseconds: int) -> list[Clip]:
+    """Cut where a frame's histogram changes by more than stands out against the shot's own changes so far."""
+    n = len(shares)
+    if not n:
+        return []
+    changes = np.abs(np.diff(shares, axis=0)).sum(1) / 2
     cuts, count, mean, square = [0], 0, 0.0, 0.0
     for k, change in enumerate(changes.tolist(), 1):
         deviation = (max(square / count - mean * mean, 0.0)) ** 0.5 if count else 0.0
@@ -359,6 +467,19 @@ def find_shots(frames: np.ndarray, microseconds: int) -> list[Clip]:
     return [Clip(a, b - 1, a * seconds, b * seconds) for a, b in zip(cuts, [*cuts[1:], n], strict=True)]
 
 
+def shots_of(media: bytes) -> list[Clip]:
+    """The shots of an AVI; its frames are decoded a few at a time."""
+    avi = read_avi(media)
+    shares, shapes = [], set()
+    for start in range(0, len(avi.frames), _FRAMES_AT_ONCE):
+        frames = decode_frames(avi, start, _FRAMES_AT_ONCE)
+        shapes.add(frames.shape[1:])
+        shares.append(histograms(frames))
+    if len(shapes) > 1:
+        raise ValueError("frames of several sizes")
+    return find_shots(np.concatenate(shares), avi.microseconds) if shares else []
+
+
 def store(data: bytes) -> bytes:
     """An AVI that holds the bytes as samples."""
     each = WIDTH * HEIGHT
@@ -375,7 +496,7 @@ def restore(media: bytes) -> tuple[bytes, np.ndarray, Avi]:
 
 def describe(frames: np.ndarray, avi: Avi) -> str:
     """frames, mean and spread of samples, and the shots' last frames and times."""
-    clips = find_shots(frames, avi.microseconds)
+    clips = find_shots(histograms(frames), avi.microseconds)
     shown = ",".join(f"{c.first}-{c.last}@{c.start:.2f}-{c.end:.2f}" for c in clips)
     return f"frames={len(frames)};mean={frames.mean():.4f};deviation={frames.std():.4f};shots={len(clips)};clips={shown}"
 
@@ -388,12 +509,11 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_shots of each row."""
-    small_batches(docs.sparkSession)
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64())]
     kinds += [("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for text in batch.column(1):
                 n, payload = payload_of(text.as_py())
@@ -409,15 +529,13 @@ def media_columns(docs: DataFrame) -> DataFrame:
 
 def clips(media: DataFrame) -> DataFrame:
     """id, media (binary) -> id, clip, first_frame, last_frame, start_s, end_s; a null or damaged file has no clips."""
-    small_batches(media.sparkSession, rows=64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[tuple] = []
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    avi = read_avi(data or b"")
-                    shots = find_shots(decode_frames(avi), avi.microseconds)
+                    shots = shots_of(data or b"")
                 except (ValueError, KeyError, IndexError, struct.error):
                     shots = []
                 rows += [(name, k, *c) for k, c in enumerate(shots)]
@@ -430,4 +548,5 @@ def clips(media: DataFrame) -> DataFrame:
 
 
 def op8_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_columns of the whole documents table; see the module for nulls, repeated rows and empty tables."""
     return media_columns(table(spark, sf_dir, "documents"))
