@@ -6,9 +6,11 @@ next node of a shard with room. So sizes are balanced for any input (law ``bytes
 input moves only the keys near the places where that changes an owner or an overflow.
 
 The ring is walked for CELLS equal arcs, not for documents: the bytes of each arc are summed on the executors and the
-walk sees only these sums. Keys with more than HOT of a shard's share are placed by themselves. Above SPLIT a key is dealt
-into SPLIT_PIECES pieces by doc_id that are placed one by one, so its copies spread only as far as capacity makes them.
-Numbers within a shard come from the sums of rows by arc, plus the row's number in its arc.
+walk sees only these sums. Keys with more than HOT of a shard's share of bytes or of rows are placed by themselves. Above
+SPLIT of the bytes a key is dealt into SPLIT_PIECES pieces by doc_id that are placed one by one, so its copies spread only
+as far as capacity makes them. Numbers within a shard come from the sums of rows by arc, plus the row's number in its arc;
+a hot key's rows (a null text may be most of them, with few bytes) are counted and numbered in as many parts as they
+exceed the share of rows, by a hash of doc_id, so no task numbers more than a few shares.
 
 Defined results: a null text counts as empty: size 1, checksum 0; equal texts stay together unless split; repeated rows
 are rows; ties in an arc are numbered by key, doc_id and size; an empty table gives an empty table.
@@ -82,21 +84,25 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             F.pmod(key, F.lit(CELLS)).cast("int").alias("cell"),
         )
     )
-    keys = rows.groupBy("key", "cell").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size").alias("bytes")).first()
-    limit = max(1, int((total.bytes or 0) * HOT / shards)) if total else 1
-    # fewer than shards / HOT keys can be above the limit
-    hot = [(r.key, r.bytes > limit * (SPLIT / HOT)) for r in keys.where(F.col("bytes") > limit).collect()]
+    keys = rows.groupBy("key", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
+    limit, row_limit = (max(1, int((n or 0) * HOT / shards)) for n in ((total.bytes, total.rows) if total else (0, 0)))
+    # fewer than 2 * shards / HOT keys can be above a limit; their parts are as few and a part for each key
+    hot = [(r.key, r.bytes > limit * (SPLIT / HOT), -(-r.rows // row_limit)) for r in keys.where((F.col("bytes") > limit) | (F.col("rows") > row_limit)).collect()]
     spark = docs.sparkSession
-    hot_keys = spark.createDataFrame(hot, "key long, split boolean").withColumn("hot", F.lit(True))
-    piece = F.when(F.col("split"), F.pmod(F.xxhash64("doc_id", "size"), F.lit(SPLIT_PIECES)).cast("int")).otherwise(F.lit(-1))
+    hot_keys = spark.createDataFrame(hot, "key long, split boolean, parts long").withColumn("hot", F.lit(True))
+    by_id = F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 40))
+    piece = F.when(F.col("split"), F.pmod(by_id, F.lit(SPLIT_PIECES)).cast("int")).otherwise(F.lit(-1))
+    part = F.when(F.col("split"), F.pmod(F.floor(by_id / SPLIT_PIECES), F.ceil(F.col("parts") / SPLIT_PIECES))).when(F.col("hot"), F.pmod(by_id, F.col("parts"))).otherwise(F.lit(0))
     # a hot key or its pieces are units of their own; all other keys of a cell are one
-    units = rows.join(F.broadcast(hot_keys), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("piece", piece)
+    units = rows.join(F.broadcast(hot_keys), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("piece", piece).withColumn("part", part.cast("long"))
     units = units.withColumn("unit_key", F.when(F.col("hot"), F.col("key")).otherwise(F.lit(0)))
-    by = ["cell", "unit_key", "piece"]
+    unit, by = ["cell", "unit_key", "piece"], ["cell", "unit_key", "piece", "part"]
     # at most CELLS sums and what the hot keys have, whatever the number of documents
     sums = units.groupBy(*by).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).toArrow().sort_by([(c, "ascending") for c in by])
-    chosen = np.array(place(list(zip(sums["cell"].to_pylist(), sums["bytes"].to_pylist(), strict=True)), shards), np.int32)
+    whole = sums.group_by(unit, use_threads=False).aggregate([("bytes", "sum")]).sort_by([(c, "ascending") for c in unit])
+    placed = dict(zip(zip(*(whole[c].to_pylist() for c in unit), strict=True), place(list(zip(whole["cell"].to_pylist(), whole["bytes_sum"].to_pylist(), strict=True)), shards), strict=True))
+    chosen = np.array([placed[u] for u in zip(*(sums[c].to_pylist() for c in unit), strict=True)], np.int32)
     rows_in, start = sums["rows"].to_numpy(), np.zeros(len(chosen), np.int64)
     for s in range(shards):
         start[chosen == s] = np.cumsum(rows_in[chosen == s]) - rows_in[chosen == s]
@@ -109,4 +115,5 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def op3_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard of the whole documents table; see the module for nulls, ties and empty tables."""
     return shard(table(spark, sf_dir, "documents"))
