@@ -3,8 +3,9 @@
 Fingerprints: A-Z lower-cased, words cut at ASCII white space, word shingles (repeats included), XXH64 with seed 42,
 majority of each bit. Equal fingerprints are one node, named by the fingerprint, before anything is compared.
 
-Links: 64 bits are cut into six blocks. Two fingerprints that differ in at most four bits agree on at least two whole
-blocks, so every pair to be linked meets in one of the 15 shards that two blocks' values name. Each shard becomes a
+Links: 64 bits are cut into blocks, six at first. Two fingerprints that differ in at most four bits agree on all blocks
+but four, so every pair to be linked meets in one of the shards that two (all but four) blocks' values name. More
+fingerprints are cut into more blocks (blocks_for): the keys grow, so that shards keep their size. Each shard becomes a
 BK-tree: a child's key is its integer Hamming distance to its parent, and a search follows only the edges within the
 radius of the distance at hand. Shard trees are not broadcast: together they hold every fingerprint and so grow with
 the corpus; their members travel by the shuffle to the task that builds the tree. A shard above SHARD_ROWS is cut into
@@ -18,6 +19,9 @@ so candidates come from MinHash bands, and every link is verified on the whole s
 Components: links are contracted by alternating large-star and small-star rounds until every node points at the
 smallest one it can reach. Nothing is collected but one count per round.
 
+A fingerprint, component or hub may hold a large part of all rows. Wherever rows are joined to such keys, the keys above
+one HOT_PARTS-th of the rows (fewer than HOT_PARTS, by count) are broadcast and their rows stay where they are.
+
 Defined results: a null, empty or white-space text has fingerprint zero and is linked as any other; repeated rows and
 equal texts share their component; rows without doc_id are linked as any other, but name no component: one whose group
 has no id at all gets a null component; an empty table gives an empty table; very long texts are taken whole.
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegrain.llm._common import checkpoint, id_and_text, small_batches, table
+from notegrain.llm._common import checkpoint, id_and_text, pieces, table
 
 SEED = 42
 RADIUS = 4
@@ -46,6 +50,8 @@ COPY_WORDS, COPY_JACCARD = 5, 0.8
 BANDS, BAND_ROWS = 26, 6
 #: Bits of the filter for texts that have candidates.
 FILTER_BITS = 1 << 26
+#: Keys above this part of a join's rows are hot; fewer than so many can be.
+HOT_PARTS = 1000
 #: Shingles hashed at a time, to bound memory on very long texts.
 _STEP = 1 << 15
 
@@ -140,30 +146,53 @@ def group_links(tree_side: list[tuple[int, int]], search_side: list[tuple[int, i
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, text_hash (XXH64 of the text as it is), fp (the fingerprint as a signed long) of each row."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             values = [simhash(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     return id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def block_masks(radius: int = RADIUS) -> list[int]:
-    """Masks of two blocks of radius+2: whoever differs in at most radius bits agrees under one of them."""
-    blocks, start = [], 0
-    for k in range(radius + 2):
-        size = 64 // (radius + 2) + (k < 64 % (radius + 2))
-        blocks.append(((1 << size) - 1) << start)
+def blocks_for(nodes: int, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> int:
+    """Blocks at least two more than the radius, so many that evenly spread fingerprints give shards of shard_rows."""
+    blocks = radius + 2
+    while blocks < 16 and nodes >> (64 // blocks * (blocks - radius)) > shard_rows:
+        blocks += 1
+    return blocks
+
+
+def block_masks(radius: int = RADIUS, blocks: int | None = None) -> list[int]:
+    """Masks of all but radius blocks: whoever differs in at most radius bits agrees under one of them."""
+    n = blocks or radius + 2
+    cut, start = [], 0
+    for k in range(n):
+        size = 64 // n + (k < 64 % n)
+        cut.append(((1 << size) - 1) << start)
         start += size
-    masks = [a | b for a, b in itertools.combinations(blocks, 2)]
+    masks = [sum(chosen) for chosen in itertools.combinations(cut, n - radius)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of left (so many rows) with right, which has each key once and, as size, the rows that left has of it.
+
+    Rows of hot keys (see HOT_PARTS) meet a broadcast of at most HOT_PARTS rows; only the others are shuffled.
+    """
+    hot = right.where(F.col("size") > max(total // HOT_PARTS, 1)).drop("size")
+    names = [c for c in hot.columns if c != key]
+    marked = left.join(F.broadcast(hot.withColumn("hot key", F.lit(True))), key, "left")
+    found = marked.where(F.col("hot key")).drop("hot key")
+    rest = marked.where(F.col("hot key").isNull()).select(*left.columns).join(right.drop("size"), key)
+    columns = [key, *[c for c in left.columns if c != key], *names]
+    return found.select(*columns).unionByName(rest.select(*columns))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, blocks: int | None = None) -> DataFrame:
     """u < v: links between nodes (fp, node) that connect all those within the radius."""
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(block_masks(radius))]))
+    masks = block_masks(radius, blocks)
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)]))
     members = nodes.select("fp", "node", keys.alias("at")).select("at.band", "at.key", "fp", "node")
     counts = members.groupBy("band", "key").count().where("count > 1").withColumnRenamed("count", "size")
     chunk = F.pmod(F.xxhash64("fp", F.lit("chunk")), F.col("chunks")).cast("int")
@@ -209,38 +238,34 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours on the smallest. At the end each node but the roots has one edge, to its component's smallest node.
     """
     now, before = checkpoint(edges), None
+    total = now.count()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").where("m < v").select(F.col("m").alias("u"), "v").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("size"))
+        large = join_counted(now, low, "u", total).where("m < v").select(F.col("m").alias("u"), "v").distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("size"))
         # of a node and its smaller neighbours: each smaller neighbour, and the node itself, goes to the smallest
-        small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), F.col("v").alias("v")))).alias("e"))
+        small = join_counted(large, least, "v", total).select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), F.col("v").alias("v")))).alias("e"))
         now = checkpoint(small.select("e.u", "e.v").where("u < v").distinct())
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("v").alias("node"), F.col("u").alias("component"))
-        before = state
-
+        before, total = state, state[0]
 
-def grouped(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, width: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, text_hash, fp), and each fingerprint's group: fp, component (a fingerprint), first.
 
-    first is the fingerprint's first document: (without_id, doc_id, text_hash), least doc_id first, rows without id last.
-    """
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, width: int = SHINGLE_WORDS, blocks: int | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of each row."""
     prints = checkpoint(fingerprints(docs, width))
     member = F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "text_hash")
-    nodes = checkpoint(prints.groupBy("fp").agg(F.min(member).alias("first")))
-    found = components(links(nodes.select("fp", F.col("fp").alias("node")), radius, shard_rows)).withColumnRenamed("node", "fp")
-    return prints, nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of each row."""
-    prints, groups = grouped(docs, radius, shard_rows, width)
-    least = groups.groupBy("component").agg(F.min("first").alias("first")).select("component", F.col("first.doc_id").alias("component_id"))
-    named = groups.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a fingerprint's first document: least doc_id first, rows without id last
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min(member).alias("first"), F.count("*").alias("size")))
+    counted = nodes.agg(F.count("*").alias("nodes"), F.sum("size").alias("rows")).first()
+    n, rows = (counted.nodes, counted.rows or 0) if counted else (0, 0)
+    found = components(links(nodes.select("fp", F.col("fp").alias("node")), radius, shard_rows, blocks or blocks_for(n, radius, shard_rows)))
+    groups = checkpoint(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first", F.col("size").alias("rows")))
+    least = groups.groupBy("component").agg(F.min("first").alias("first"), F.count("*").alias("size")).select("component", F.col("first.doc_id").alias("component_id"), "size")
+    named = join_counted(groups.select("component", "fp", "rows"), least, "component", n).select("fp", "component_id", F.col("rows").alias("size"))
+    return join_counted(prints.select("fp", "doc_id"), named, "fp", rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None, width: int = COPY_WORDS) -> np.ndarray:
@@ -303,17 +328,16 @@ def _maybe_in(nodes: DataFrame) -> np.ndarray:
 
 
 def copies(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Each distinct text's group: node (its XXH64), component (a node), first (as in grouped).
+    """Each distinct text's group: node (its XXH64), component (a node), first (its first document, rows without id last).
 
     Texts whose five-word shingles have a Jaccard similarity of COPY_JACCARD or more are linked. Candidates share a band
     of least values; whoever is reached by candidates is a cluster, and within a cluster all pairs are compared by their
     exact similarity, in chunks as the shards are. Shingles travel once for each chunk, and only those of clusters.
     """
-    small_batches(docs.sparkSession)
     texts = id_and_text(docs).withColumn("node", F.xxhash64("text"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             keys = [band_keys(shingle_set(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
 
@@ -327,7 +351,7 @@ def copies(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     maybe = docs.sparkSession.sparkContext.broadcast(_maybe_in(clusters))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             bit = np.mod(batch.column(2).to_numpy(), FILTER_BITS)
             chosen = np.flatnonzero(maybe.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1)
             sets = [shingle_set(batch.column(1)[k].as_py()).tobytes() for k in chosen.tolist()]
@@ -335,9 +359,9 @@ def copies(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
     # repeated texts are merged on the map side
     sets = texts.mapInArrow(held, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("chunks"))
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("size")).withColumn("chunks", F.ceil(F.col("size") / F.lit(shard_rows)).cast("int"))
     own = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")
-    shared = clusters.join(sizes, "component").withColumn("own", own).join(sets, "node")
+    shared = join_counted(clusters, sizes, "component", clusters.count()).withColumn("own", own).join(sets, "node")
     dealt = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("searches"), "node", "shingles")
     ordered = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "searches", "node")
@@ -349,7 +373,7 @@ def copies(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
             if now is not None:
                 found.extend(copy_links(sides[0], sides[1] if now[1] != now[2] else None))
 
-        for batch in batches:
+        for batch in pieces(batches):
             columns = [batch.column(k).to_pylist() for k in range(6)]
             for component, lo, hi, searches, node, shingles in zip(*columns, strict=True):
                 if (component, lo, hi) != now:
@@ -385,4 +409,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of the whole documents table; see the module for nulls, ties and empty tables."""
     return near_duplicates(table(spark, sf_dir, "documents"))
