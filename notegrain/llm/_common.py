@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,18 +20,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared checkpoint folder; a folder of our own only where none is set (tests)."""
+    """Cut lineage into the shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a session on this one machine (local master, as in tests) gets a temporary folder; on a cluster
+    that folder would be out of the executors' reach, so it is an error there.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="notegrain-"))
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
-    """Bound Arrow batches by rows and bytes, so that a run of very long texts still fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut, without a copy, into runs of so many rows, and of about so many bytes, at most.
+
+    The session's own limits stay as they are. A row above the size is a piece by itself.
+    """
+    for batch in batches:
+        at, each = 0, max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+        while at < batch.num_rows:
+            piece = batch.slice(at, each)
+            # a piece that has the long rows is cut further
+            while piece.num_rows > 1 and piece.nbytes > 2 * size:
+                piece = piece.slice(0, piece.num_rows // 2)
+            yield piece
+            at += piece.num_rows
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

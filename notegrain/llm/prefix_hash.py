@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegrain.llm._common import checkpoint, id_and_text, small_batches, table
+from notegrain.llm._common import checkpoint, id_and_text, pieces, table
 
 #: Two Mersenne-size primes and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -172,7 +172,6 @@ def fingerprint_edits(docs: DataFrame, range_bytes: int = 2 << 20) -> DataFrame:
 
     common_start is how far the text and the edited one agree, by binary search.
     """
-    small_batches(docs.sparkSession, rows=256)
     areas = _neighbours(docs, range_bytes).repartition("area").sortWithinPartitions("area", "lead", F.col("doc_id").asc_nulls_first(), "text")
     kinds = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string())]
     kinds += [("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_start", pa.int64())]
@@ -186,7 +185,7 @@ def fingerprint_edits(docs: DataFrame, range_bytes: int = 2 << 20) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
+        for batch in pieces(batches, rows=256):
             out = []
             for area, doc_id, text, lead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashes = PrefixHashes(text)

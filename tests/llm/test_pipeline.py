@@ -68,7 +68,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert 20 < len(docs) - len(kept) < 45
     component = brute_components([(d[0], brute_simhash(d[1])) for d in kept])
     kept = [d for d in kept if component[d[0]] == d[0]]
-    kept = [(d[0], pii.replace(d[1])[0], *d[2:]) for d in kept]
+    kept = [(d[0], pii.replace(d[1], corpus_pipeline.surrogate_key(spark))[0], *d[2:]) for d in kept]
     assert not any("a.b@c1" in (d[1] or "") or "10.0.0.7" in (d[1] or "") for d in kept)
     library = piece_bpe.MergeVocabulary(piece_bpe.model_bytes()).library
     wanted = Counter((d[0], tuple(library.encode(d[1] or ""))) for d in brute_mix(kept) if (d[1] or "").strip())
