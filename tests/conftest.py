@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -16,7 +17,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([str(HERE.parent), str(HERE), os.envi
 @pytest.fixture(scope="session")
 def spark():
     builder = SparkSession.builder.master("local[4]").appName("notegrain-tests")
-    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false"}
+    conf = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="notegrain-tests-"), "spark.cleaner.referenceTracking.cleanCheckpoints": "true", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false"}
     session = builder.config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
