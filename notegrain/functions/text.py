@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it; Java's classes miss some of it. One class for every strip and collapse.
-SPACE = r"\s\x1c-\x1f\x85\xa0  -     　"
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Order of labels that open or close at one place.
 LABEL_PRIORITY = {"NORMALIZABLES": 0, "Negated": 1, "Speculated": 2, "Spec_cue": 3, "Neg_cue": 4}
@@ -74,6 +74,30 @@ def snippet(text: Column, start: Column, end: Column, window: int = 35) -> Colum
     return collapse(F.substring(text, first + 1, F.least(F.length(text), end + window) - first))
 
 
+#: Items that running_totals adds up at a time.
+_RUN = 128
+
+
+def _running(items: Column, base: Column) -> Column:
+    """base + sums of the first 1, 2, ... items; the result grows item by item, so items are to be few."""
+    start = F.struct(base.cast("int").alias("total"), F.array().cast("array<int>").alias("out"))
+    grown = F.aggregate(items, start, lambda a, x: F.struct((a["total"] + x).alias("total"), F.concat(a["out"], F.array(a["total"] + x)).alias("out")))
+    return grown["out"]
+
+
+def running_totals(items: Column) -> Column:
+    """array<int>: sums of the first 1, 2, ... items. Runs of items are added up by themselves, so long arrays stay near linear."""
+
+    def by_runs(z: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / F.lit(_RUN)).cast("int")), lambda k: F.slice(z, k * _RUN + 1, _RUN))
+        return let(runs, lambda parts: let(sums_of(parts), lambda sums: F.flatten(F.transform(parts, lambda part, k: _running(part, F.coalesce(F.get(sums, k - 1), F.lit(0)))))))
+
+    def sums_of(parts: Column) -> Column:
+        return _running(F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)), F.lit(0))
+
+    return let(items, lambda z: F.when(F.size(z) > 0, by_runs(z)).otherwise(z))
+
+
 def find_all(text: Column, pattern: str, groups: tuple[tuple[str, int], ...] = ()) -> Column:
     """All matches as array<struct<start, end, text, one string for each group>>, in order; groups that took no part are empty.
 
@@ -86,16 +110,14 @@ def find_all(text: Column, pattern: str, groups: tuple[tuple[str, int], ...] = (
         *[F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(name) for name, k in groups],
     )
 
-    def total(items: Column) -> Column:
-        return F.aggregate(items, F.lit(0), lambda a, s: a + F.length(s))
-
     def at(p: Column) -> Column:
-        def one(i: Column) -> Column:
-            start = total(F.slice(p["gaps"], 1, i + 1)) + total(F.slice(p["m"], 1, i))
+        # from match to match: what was matched before, and the gap
+        steps = F.transform(p["m"], lambda _, i: F.length(F.get(p["gaps"], i)) + F.coalesce(F.length(F.get(p["m"], i - 1)), F.lit(0)))
+
+        def one(start: Column, i: Column) -> Column:
             found = F.get(p["m"], i)
             return F.struct(start.alias("start"), (start + F.length(found)).alias("end"), found.alias("text"), *[F.get(p[name], i).alias(name) for name, _ in groups])
 
-        n = F.size(p["m"])
-        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), one)
+        return F.transform(running_totals(steps), one)
 
     return let(parts, at)

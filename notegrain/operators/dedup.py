@@ -16,12 +16,12 @@ def exact(mentions: DataFrame, *keys: str) -> DataFrame:
     return ranked.where(F.col("rank of a mention") == 1).drop("clean text", "rank of a mention")
 
 
-def by_span_and_label(mentions: DataFrame, *keys: str) -> DataFrame:
-    """Mentions folded in order of start, end: the first kept one of the label that shares a start or an end with the
-    newcomer is replaced if shorter (the newcomer then stands last), else the newcomer goes. Only a label's mentions meet,
-    so the fold is over those of one key and label; they are few by nature.
+def by_span_and_label(mentions: DataFrame, *keys: str, carried: tuple[str, ...] = ("text",)) -> DataFrame:
+    """Mentions folded in order of arrival: the first kept one of the label that shares a start or an end with the newcomer
+    is replaced if shorter (the newcomer then stands last), else the newcomer goes. Only a label's mentions meet, so the
+    fold is over those of one key and label; they are few by nature (its time grows with their square).
     """
-    item = F.struct("start", "end", "arrival", "text")
+    item = F.struct("arrival", "start", "end", *carried)
     folded = mentions.groupBy(*keys, "label").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     def step(kept, new):  # noqa: ANN001, ANN202
@@ -33,7 +33,7 @@ def by_span_and_label(mentions: DataFrame, *keys: str) -> DataFrame:
         return F.when(at == 0, F.concat(kept, F.array(new))).when(longer, F.concat(without, F.array(new))).otherwise(kept)
 
     none = F.filter(F.col("items"), lambda _: F.lit(False))
-    return folded.select(*keys, "label", F.explode(F.aggregate("items", none, step)).alias("m")).select(*keys, "label", "m.start", "m.end", "m.text")
+    return folded.select(*keys, "label", F.explode(F.aggregate("items", none, step)).alias("m")).select(*keys, "label", "m.start", "m.end", *[f"m.{c}" for c in carried])
 
 
 def merged(documents: DataFrame, sources: list[DataFrame]) -> DataFrame:

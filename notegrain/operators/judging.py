@@ -31,7 +31,7 @@ def as_flag(value: Column, path: str) -> Column:
 
 
 def validated(answers: DataFrame) -> DataFrame:
-    """strategy, file_name, relative_path, raw_text -> also parse_error, <score>, <score>_justification, flags."""
+    """strategy, file_name, relative_path, raw_text and others -> all but raw_text, and parse_error, <score>, <score>_justification, flags."""
     rows = answers.withColumn("v", parse_json(F.coalesce("raw_text", F.lit(""))))
     kind = F.schema_of_variant(F.col("v"))
     error = F.when(F.col("v").isNull(), "invalid_json").when(~kind.startswith("OBJECT"), "unexpected_type")
@@ -42,7 +42,14 @@ def validated(answers: DataFrame) -> DataFrame:
         is_text = F.schema_of_variant(F.try_variant_get("v", f"$.{key}.justification", "variant")) == "STRING"
         words = F.when(is_text, F.try_variant_get("v", f"$.{key}.justification", "string")).otherwise("")
         columns += [score.alias(f"{key}_score"), F.when(score == 5, "").otherwise(strip(words)).alias(f"{key}_justification")]
-    return rows.select("strategy", "file_name", "relative_path", error.alias("parse_error"), *columns, *[as_flag(F.col("v"), f"$.{k}").alias(k) for k in FLAGS])
+    return rows.select(*[c for c in answers.columns if c != "raw_text"], error.alias("parse_error"), *columns, *[as_flag(F.col("v"), f"$.{k}").alias(k) for k in FLAGS])
+
+
+def flat_rows(answers: DataFrame, model: str, provider: str) -> DataFrame:
+    """validated answers (with file_path) as the results file has them: 27 columns, and parse_error."""
+    known = [F.col("file_name").alias("filename"), "strategy", "relative_path", F.col("file_path").alias("filepath"), F.lit(model).alias("model"), F.lit(provider).alias("provider")]
+    scores = [c for k in SCORES for c in (f"{k}_score", f"{k}_justification")]
+    return validated(answers).select(*known, *scores, *FLAGS, "parse_error")
 
 
 def complete(flat: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegrain.functions.text import collapse
 
-#: Characters that may stand between tokens of one span.
+#: Fixed value: characters that may stand between tokens of one span.
 GLUE = "^[\\s\\-\u2010\u2011\u2012\u2013\u2014/,;:.()]+$"
 
 
@@ -17,25 +17,44 @@ def bio_spans(tokens: DataFrame, texts: DataFrame, average: bool, low: float | N
     Gaps and islands: a token goes on with the span of the effective token before it if it has the same type and
     touches it, overlaps it, or only glue lies between. O and special tokens end a span; tokens without length are passed
     over. Scores are averaged or the least is taken; spans outside the score band go.
+
+    Tokens are dealt by document, without texts. What touches or overlaps is put together first; the text comes once, to
+    the runs of such parts that only glue could hold together, and is read between parts.
     """
     keys = ["doc_id", "model", "window_id"]
     special = F.col("st").isNull() | F.col("en").isNull() | ((F.col("st") == 0) & (F.col("en") == 0))
-    rows = tokens.withColumn("special", special).where((F.col("special") & (F.col("idx") > 0)) | (~F.col("special") & (F.col("en") > F.col("st"))))
+    rows = tokens.select(*keys, "idx", "st", "en", "label", "score", special.alias("special")).where((F.col("special") & (F.col("idx") > 0)) | (~F.col("special") & (F.col("en") > F.col("st"))))
     kind = F.when(F.col("special") | (F.col("label") == "O"), F.lit(None)).when(F.col("label").contains("-"), F.regexp_extract("label", r"^[^-]*-(.*)$", 1)).otherwise(F.col("label"))
-    order = Window.partitionBy(*keys).orderBy("idx")
-    joined = rows.withColumn("kind", kind).join(texts.select("doc_id", "text"), "doc_id")
-    seen = joined.withColumn("last_en", F.lag("en").over(order)).withColumn("last_kind", F.lag("kind").over(order))
-    gap = F.substring(F.col("text"), F.col("last_en") + 1, F.col("st") - F.col("last_en"))
     prefix = F.when(F.col("label").contains("-"), F.upper(F.regexp_extract("label", r"^([^-]*)-", 1))).otherwise("B")
-    near = prefix.isin("B", "I") & ((F.col("st") < F.col("last_en")) | gap.rlike(GLUE))
-    goes_on = (F.col("kind") == F.col("last_kind")) & ((F.col("st") == F.col("last_en")) | near)
-    islands = seen.withColumn("island", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order)).where("kind is not null")
-    score = F.avg("score") if average else F.min("score")
-    spans = islands.groupBy(*keys, "island").agg(F.first("kind").alias("label"), F.min("st").alias("start"), F.max("en").alias("end"), score.alias("score"))
+    order = Window.partitionBy(*keys).orderBy("idx")
+    light = rows.select(*keys, "idx", "st", "en", "score", kind.alias("kind"), prefix.isin("B", "I").alias("near")).repartition("doc_id")
+    seen = light.withColumn("last_en", F.lag("en").over(order)).withColumn("same", F.coalesce(F.col("kind") == F.lag("kind").over(order), F.lit(False)))
+    joins = F.col("same") & ((F.col("st") == F.col("last_en")) | F.col("near") & (F.col("st") < F.col("last_en")))
+    may_join = F.col("same") & F.col("near") & (F.col("st") > F.col("last_en"))
+    count = lambda c: F.sum(F.when(c, 0).otherwise(1)).over(order)
+    numbered = seen.select("*", count(joins).alias("part"), count(joins | may_join).alias("run")).where("kind is not null")
+    first = F.min_by(F.struct("last_en", "st"), "idx")
+    parts = numbered.groupBy(*keys, "run", "part").agg(F.first("kind").alias("kind"), first.alias("gap"), F.min("st").alias("st"), F.max("en").alias("en"), F.sum("score").alias("total"), F.count("*").alias("n"), F.min("score").alias("least"))
+    item = F.struct("part", "gap", "st", "en", "total", "n", "least")
+    runs = parts.groupBy(*keys, "run").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(item)).alias("parts"))
+    joined = runs.join(texts.select("doc_id", "text"), "doc_id")
+
+    def glued(spans: Column, x: Column) -> Column:
+        last, size = F.element_at(spans, -1), F.size(spans)
+        between = F.substring(F.col("text"), x["gap"]["last_en"] + 1, x["gap"]["st"] - x["gap"]["last_en"])
+        whole = F.struct(
+            F.least(last["st"], x["st"]).alias("st"), F.greatest(last["en"], x["en"]).alias("en"), (last["total"] + x["total"]).alias("total"), (last["n"] + x["n"]).alias("n"), F.least(last["least"], x["least"]).alias("least")
+        )
+        alone = F.struct(*[x[c].alias(c) for c in ("st", "en", "total", "n", "least")])
+        return F.when((size > 0) & between.rlike(GLUE), F.concat(F.slice(spans, 1, size - 1), F.array(whole))).otherwise(F.concat(spans, F.array(alone)))
+
+    none = F.array().cast("array<struct<st:int,en:int,total:double,n:bigint,least:double>>")
+    spans = joined.select(*keys, "kind", "text", F.explode(F.aggregate("parts", none, glued)).alias("s"))
+    score = F.col("s.total") / F.col("s.n") if average else F.col("s.least")
+    text = collapse(F.substring(F.col("text"), F.col("s.st") + 1, F.col("s.en") - F.col("s.st")))
+    named = spans.select(*keys, F.col("kind").alias("label"), F.col("s.st").alias("start"), F.col("s.en").alias("end"), score.alias("score"), text.alias("text"))
     if low is not None and high is not None:
-        spans = spans.where(F.col("score").between(low, high))
-    text = collapse(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))
-    named = spans.join(texts.select("doc_id", "text"), "doc_id").select(*keys, "label", "start", "end", "score", text.alias("text"))
+        named = named.where(F.col("score").between(low, high))
     return named.where("text <> ''")
 
 

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegrain.functions.text import normalize_text
+from notegrain.functions.numeric import best_class, softmax
+from notegrain.functions.text import normalize_text, snippet
 from notegrain.operators import dedup, generation, inline_tags, judging, matching, mentions, standoff, tokens
 from notegrain.plans.fixtures import fixture, with_fixtures
+from notegrain.sources import files
 
 SYSTEM, TEMPLATE = "Eres un urologo.", "Caso: {CASE_TEXT}"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +38,7 @@ def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", normalize_text(F.col("text")).alias("text"))
 
 
+#: The grammars of quantities and scores, in the oracle's dialect.
 _NUMBER = r"(?:\d{1,3}(?:[.\s]\d{3})+|\d+)(?:[.,]\d+)?"
 _UNIT = r"(?:ng\s*/\s*ml|ng\s*/\s*l|ng\s*ml|ng\s*l)"
 _PSA = rf"({_NUMBER})\s*({_UNIT})\b"
@@ -68,6 +71,7 @@ def psa_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("unit_norm").agg(F.count("*").alias("mentions"), F.count("value_num").alias("readable"), F.max("value_num").alias("highest"))
 
 
+#: Fixed values, as above.
 _KEY = r"(?:\bgleason\b|puntuaci[oó]n\s+de\s+gleason|score\s+de\s+gleason|escala\s+de\s+gleason)(?:\s*[:=]?\s*)"
 _TOT = r"(?:10|[2-9]|(?:X|IX|IV|V?I{0,3}))"
 _GLEASON = {
@@ -185,14 +189,31 @@ def parse_ann_discontinuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standoff.parse_spans(rows.select("file_name", line.alias("line")))
 
 
+_SANITIZED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(label, '\s+', '_', 'g'), '[^A-Za-z0-9_:-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g')"""
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@_query(
+    f""", nm as (select *, case when {_SANITIZED} = '' then 'ENTIDAD' when {_SANITIZED} similar to '[0-9].*' then 'X_' || {_SANITIZED} else {_SANITIZED} end as n,
+  case label when 'NORMALIZABLES' then 0 when 'Negated' then 1 when 'Speculated' then 2 when 'Spec_cue' then 3 when 'Neg_cue' then 4 else 100 end as pr from tag_spans),
+ev as (select doc_id, "end" as place, 0 as kind, -start as far, pr, label, '</' || n || '>' as mark from nm union all select doc_id, start, 1, -"end", pr, label, '<' || n || '>' from nm),
+od as (select e.*, x.text, row_number() over (partition by e.doc_id order by place, kind, far, pr, label) as o from ev e join tag_texts x on e.doc_id = x.doc_id where place <= len(x.text)),
+pc as (select *, coalesce(lag(place) over (partition by doc_id order by o), 0) as before from od),
+jn as (select doc_id, string_agg({_ESCAPED.format("substr(text, before + 1, place - before)")} || mark, '' order by o) as t, max(place) as upto from pc group by doc_id)
+select x.doc_id, coalesce(t, '') || {_ESCAPED.format("substr(text, coalesce(upto, 0) + 1)")} as tagged from tag_texts x left join jn on x.doc_id = jn.doc_id""",
+    ("tag_texts", "tag_spans"),
+)
+def tag_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inline_tags.tag(fixture(spark, sf_dir, "tag_texts"), fixture(spark, sf_dir, "tag_spans"))
+
+
 _DEDUP = """, al as (select 0 as src, * from silver union all select 1 as src, * from predicted),
 rk as (select *, row_number() over (partition by file_name, label, start, "end", trim(text) order by text, src, arrival) as k from al) """
 
 
-@_query(_DEDUP + 'select file_name, label, start, "end", text from rk where k = 1', ("silver", "predicted"))
+@_query(_DEDUP + 'select f.file_name, label, start, "end", text from silver_files f left join rk on f.file_name = rk.file_name and k = 1', ("silver", "predicted", "silver_files"))
 def merged_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    silver, predicted = fixture(spark, sf_dir, "silver"), fixture(spark, sf_dir, "predicted")
-    files = silver.select("file_name").distinct()
+    files, silver, predicted = (fixture(spark, sf_dir, n) for n in ("silver_files", "silver", "predicted"))
     return dedup.merged(files, [silver, predicted]).select("file_name", "label", "start", "end", "text")
 
 
@@ -204,7 +225,17 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact(fixture(spark, sf_dir, "predicted"), "file_name").select("file_name", "label", "start", "end", "text")
 
 
-@_query()
+#: Mentions folded one after another: x is a list of one mention; the first kept that shares a bound is h.
+_FOLD = """, gr as (select file_name, label, list([{'s': start, 'e': "end", 't': text}] order by arrival, start, "end", text) as items from predicted group by file_name, label),
+fd as (select file_name, label, list_reduce(items, lambda acc, x: case
+    when len(list_filter(acc, lambda k: k.s = x[1].s or k.e = x[1].e)) = 0 then acc || x
+    when x[1].e - x[1].s > list_filter(acc, lambda k: k.s = x[1].s or k.e = x[1].e)[1].e - list_filter(acc, lambda k: k.s = x[1].s or k.e = x[1].e)[1].s
+      then list_filter(acc, lambda k: k <> list_filter(acc, lambda j: j.s = x[1].s or j.e = x[1].e)[1]) || x
+    else acc end) as kept from gr)
+select file_name, label, m.s as start, m.e as "end", m.t as text from (select file_name, label, unnest(kept) as m from fd) q"""
+
+
+@_query(_FOLD, ("silver", "predicted"))
 def dedup_span_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.by_span_and_label(fixture(spark, sf_dir, "predicted"), "file_name")
 
@@ -227,8 +258,9 @@ def _greedy_oracle() -> str:
     """The greedy assignment by rounds over all candidates of a file, another way than the operator's three phases."""
     rank = "row_number() over (partition by file_name, label order by start, \"end\", text, entity_id)"
     parts = [
-        f"si as (select *, {rank} as i from silver where file_name in (select file_name from predicted))",
-        f"pj as (select *, {rank} as j from predicted where file_name in (select file_name from silver))",
+        "fl as (select file_name from silver_files intersect select file_name from predicted_files)",
+        f"si as (select *, {rank} as i from silver where file_name in (select file_name from fl))",
+        f"pj as (select *, {rank} as j from predicted where file_name in (select file_name from fl))",
         """ca as (select s.file_name, s.label, i, j, case when s.start = p.start and s."end" = p."end" then 0 when s.start = p.start then 1 else 2 end as pr,
   abs(s.start - p.start) + abs(s."end" - p."end") as d, abs((s."end" - s.start) - (p."end" - p.start)) as l
   from si s join pj p on s.file_name = p.file_name and s.label = p.label and (s.start = p.start or s."end" = p."end"))""",
@@ -240,7 +272,7 @@ def _greedy_oracle() -> str:
     parts.append("tk as (" + " union all ".join(f"select file_name, label, i, j, pr from t{k}" for k in range(1, _ROUNDS + 1)) + ")")
     parts.append(
         """cm as (select coalesce(s.file_name, p.file_name) as file_name, coalesce(s.label, p.label) as label, case when s.i is null then 'FP' when p.j is null then 'FN' else 'TP' end as status,
-  case pr when 0 then 'exact' when 1 then 'same_start' when 2 then 'same_end' end as match_type,
+  case when s.i is null then 'unmatched_pred' when p.j is null then 'unmatched_silver' when pr = 0 then 'exact' when pr = 1 then 'same_start' else 'same_end' end as match_type,
   s.entity_id as silver_entity_id, s.start as silver_start, s."end" as silver_end, s.text as silver_text, p.entity_id as pred_entity_id, p.start as pred_start, p."end" as pred_end, p.text as pred_text
   from si s left join tk on s.file_name = tk.file_name and s.label = tk.label and s.i = tk.i full join pj p on p.file_name = tk.file_name and p.label = tk.label and p.j = tk.j)"""
     )
@@ -249,50 +281,52 @@ def _greedy_oracle() -> str:
 
 _COUNTS = "count(*) filter (status = 'TP') as tp, count(*) filter (status = 'FP') as fp, count(*) filter (status = 'FN') as fn"
 _PRECISION, _RECALL = "coalesce(tp / nullif(tp + fp, 0)::double, 0)", "coalesce(tp / nullif(tp + fn, 0)::double, 0)"
-_RATES = f"round({_PRECISION}, 9) as precision, round({_RECALL}, 9) as recall, round(coalesce(2 * {_PRECISION} * {_RECALL} / nullif({_PRECISION} + {_RECALL}, 0), 0), 9) as f1, round(coalesce(tp / nullif(tp + fp + fn, 0)::double, 0), 9) as accuracy"
-_BOTH = ("silver", "predicted")
-
+_RATES = f"round({_PRECISION}, 9) as precision, round({_RECALL}, 9) as recall, round(coalesce(2 * {_PRECISION} * {_RECALL} / nullif({_PRECISION} + {_RECALL}, 0), 0), 9) as f1_score, round(coalesce(tp / nullif(tp + fp + fn, 0)::double, 0), 9) as accuracy"
+_BOTH = ("silver", "predicted", "silver_files", "predicted_files")
+_PER_FILE = _greedy_oracle() + f", ct as (select file_name, {_COUNTS} from cm group by file_name), pf as (select fl.file_name, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(fn, 0) as fn from fl left join ct on fl.file_name = ct.file_name) "
 
-def _metric_oracle(*by: str) -> str:
-    keys = "".join(f"{b}, " for b in by)
-    grouped = f"group by {', '.join(by)}" if by else ""
-    return _greedy_oracle() + f"select {keys}tp, fp, fn, tp + fn as silver_entities, tp + fp as pred_entities, {_RATES} from (select {keys}{_COUNTS} from cm {grouped}) q"
 
+def _compared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = matching.paired_files(fixture(spark, sf_dir, "silver_files"), fixture(spark, sf_dir, "predicted_files"))
+    return matching.comparisons(fixture(spark, sf_dir, "silver"), fixture(spark, sf_dir, "predicted"), files), files
 
-def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.comparisons(fixture(spark, sf_dir, "silver"), fixture(spark, sf_dir, "predicted"))
 
-
-_SAME = ", ".join(f"coalesce(cast(silver_{c} = pred_{c} as integer), 0) as same_{c}" for c in ("start", "end", "text"))
+_SAME = "cast(status = 'TP' as integer) as same_label, " + ", ".join(f"coalesce(cast(silver_{c} = pred_{c} as integer), 0) as same_{c}" for c in ("start", "end", "text"))
 
 
 @_query(_greedy_oracle() + f"select *, {_SAME} from cm", _BOTH)
 def entity_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compared(spark, sf_dir)
+    return _compared(spark, sf_dir)[0]
 
 
-@_query(_metric_oracle("file_name"), _BOTH)
+@_query(_PER_FILE + f"select file_name, tp + fn as silver_entities, tp + fp as pred_entities, tp, fp, fn, {_RATES} from pf", _BOTH)
 def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.metrics(_compared(spark, sf_dir), "file_name")
+    return matching.file_metrics(*_compared(spark, sf_dir))
 
 
-@_query(_metric_oracle("label"), _BOTH)
+@_query(_greedy_oracle() + f"select label, tp, fp, fn, {_RATES} from (select label, {_COUNTS} from cm group by label) q", _BOTH)
 def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.metrics(_compared(spark, sf_dir), "label")
+    return matching.label_metrics(_compared(spark, sf_dir)[0])
 
 
-@_query(_metric_oracle(), _BOTH)
+@_query(
+    _PER_FILE
+    + f"select evaluated_files, tp + fn as silver_entities, tp + fp as pred_entities, tp, fp, fn, {_RATES} from (select count(*) as evaluated_files, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn from pf) q",
+    _BOTH,
+)
 def global_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.metrics(_compared(spark, sf_dir))
+    return matching.global_metrics(*_compared(spark, sf_dir))
 
 
 @_query(
-    _greedy_oracle()
-    + f"select case when g = 1 then 'file' when g = 2 then 'label' else 'global' end as grain, file_name, label, tp, fp, fn, {_RATES} from (select grouping(file_name, label) as g, file_name, label, {_COUNTS} from cm group by grouping sets ((file_name), (label), ())) q",
+    _PER_FILE
+    + f"""select 'file' as grain, file_name, null::varchar as label, tp, fp, fn, {_RATES} from pf
+union all select 'label', null, label, tp, fp, fn, {_RATES} from (select label, {_COUNTS} from cm group by label) q
+union all select 'global', null, null, tp, fp, fn, {_RATES} from (select {_COUNTS} from cm) q""",
     _BOTH,
 )
 def metrics_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.metrics_all_grains(_compared(spark, sf_dir))
+    return matching.metrics_all_grains(*_compared(spark, sf_dir))
 
 
 @_query(
@@ -305,10 +339,10 @@ def char_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bio_oracle(score: str) -> str:
     return rf""", r as (select t.*, x.text, t.st = 0 and t.en = 0 as sp from tokens t join token_texts x on t.doc_id = x.doc_id where (t.st = 0 and t.en = 0 and t.idx > 0) or (not (t.st = 0 and t.en = 0) and t.en > t.st)),
 k as (select *, case when sp or label = 'O' then null when contains(label, '-') then split_part(label, '-', 2) else label end as kind from r),
-l as (select *, lag(en) over w as pe, lag(kind) over w as pk from k window w as (partition by doc_id, model order by idx)),
+l as (select *, lag(en) over w as pe, lag(kind) over w as pk from k window w as (partition by doc_id, model, window_id order by idx)),
 g as (select *, case when kind = pk and (st <= pe or regexp_full_match(substr(text, pe + 1, st - pe), '[\s\-/,;:.()]+')) then 0 else 1 end as fresh from l),
-i as (select *, sum(fresh) over (partition by doc_id, model order by idx) as isl from g),
-a as (select doc_id, model, 0 as window_id, any_value(kind) as label, min(st) as start, max(en) as "end", {score}(score) as score, any_value(text) as text from i where kind is not null group by doc_id, model, isl)
+i as (select *, sum(fresh) over (partition by doc_id, model, window_id order by idx) as isl from g),
+a as (select doc_id, model, window_id, any_value(kind) as label, min(st) as start, max(en) as "end", {score}(score) as score, any_value(text) as text from i where kind is not null group by doc_id, model, window_id, isl)
 select doc_id, model, window_id, label, start, "end", score, trim(regexp_replace(substr(text, start + 1, "end" - start), '\s+', ' ', 'g')) as text from a where score between 0.45 and 1.0 and trim(substr(text, start + 1, "end" - start)) <> ''"""
 
 
@@ -390,11 +424,16 @@ _JUDGED = (
 )
 
 
+def _whole(value: str, kind: str) -> str:
+    """A JSON value as a whole number: fractions cut off, digits in a string read, true and false as 1 and 0."""
+    return f"case {kind} when 'VARCHAR' then case when regexp_full_match(trim({value}), '[+-]?[0-9]+') then try_cast(trim({value}) as integer) end when 'BOOLEAN' then cast({value} = 'true' as integer) else try_cast(trunc(try_cast({value} as double)) as integer) end"
+
+
 def _score_columns(key: str) -> str:
-    number = f"try_cast(json_extract_string(v, '$.{key}.score') as integer)"
+    number = _whole(f"json_extract_string(v, '$.{key}.score')", f"json_type(v, '$.{key}.score')")
     words = f"json_extract_string(v, '$.{key}.justification')"
     kind = f"json_type(v, '$.{key}.justification')"
-    return f"case when {number} between 1 and 5 then {number} end as {key}_score, case when {number} = 5 or {kind} is distinct from 'VARCHAR' then '' else trim({words}) end as {key}_justification"
+    return f"case when ({number}) between 1 and 5 then ({number}) end as {key}_score, case when ({number}) = 5 or {kind} is distinct from 'VARCHAR' then '' else trim({words}) end as {key}_justification"
 
 
 def _flag_column(key: str) -> str:
@@ -413,9 +452,22 @@ def judge_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judging.validated(fixture(spark, sf_dir, "judged"))
 
 
+#: A judge's row as the results file has it: the note, the judge, 18 score columns, 3 flags, and what went wrong.
 @_query(
     _JUDGED
-    + "select strategy, file_name, criterion, case when n between 1 and 5 then n end as score, case when n = 5 or k is distinct from 'VARCHAR' then '' else trim(w) end as justification from (select strategy, file_name, criterion, try_cast(json_extract_string(v, '$.' || criterion || '.score') as integer) as n, json_type(v, '$.' || criterion || '.justification') as k, json_extract_string(v, '$.' || criterion || '.justification') as w from js cross join (select unnest(['"
+    + "select file_name as filename, strategy, relative_path, 'root/' || relative_path as filepath, 'judge' as model, 'ollama' as provider, "
+    + ", ".join([*map(_score_columns, judging.SCORES), *map(_flag_column, judging.FLAGS)])
+    + ", case when v is null then 'invalid_json' when json_type(v) <> 'OBJECT' then 'unexpected_type' end as parse_error from js",
+    ("judged",),
+)
+def judge_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture(spark, sf_dir, "judged").withColumn("file_path", F.concat(F.lit("root/"), "relative_path"))
+    return judging.flat_rows(rows, "judge", "ollama")
+
+
+@_query(
+    _JUDGED
+    + "select strategy, file_name, criterion, case when n between 1 and 5 then n end as score, case when n = 5 or k is distinct from 'VARCHAR' then '' else trim(w) end as justification from (select strategy, file_name, criterion, " + _whole("json_extract_string(v, '$.' || criterion || '.score')", "json_type(v, '$.' || criterion || '.score')") + " as n, json_type(v, '$.' || criterion || '.justification') as k, json_extract_string(v, '$.' || criterion || '.justification') as w from js cross join (select unnest(['"
     + "', '".join(judging.SCORES)
     + "']) as criterion) c) q",
     ("judged",),
@@ -434,3 +486,33 @@ def judge_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("select file_name from judged where ends_with(lower(file_name), '.txt') and not regexp_matches(lower(file_name), 'report|analysis|stats|summary|metric|log|readme')", ("judged",))
 def note_filename_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judging.valid_note_names(fixture(spark, sf_dir, "judged").select("file_name"))
+
+
+@_query(
+    _PSA_ORACLE + f", g as (select doc_id, 'PSA' as label, s, e, t from n) select doc_id, label, cast(s as integer) as start, cast(e as integer) as \"end\", {_SNIPPET} as snippet from g",
+    ("notes",),
+)
+def mention_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surroundings of quantities, cut from the normalised note by place alone."""
+    notes = fixture(spark, sf_dir, "notes").select("doc_id", normalize_text(F.col("text")).alias("t"))
+    places = mentions.psa_mentions(fixture(spark, sf_dir, "notes")).select("doc_id", "label", "start", "end")
+    return places.join(notes, "doc_id").select("doc_id", "label", "start", "end", snippet(F.col("t"), F.col("start"), F.col("end")).alias("snippet"))
+
+
+@_query(", d as (select doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as text from file_bytes) select doc_id, text from d", ("file_bytes",))
+def doc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files' bytes, in UTF-8 or Latin-1, as text."""
+    rows = fixture(spark, sf_dir, "file_bytes")
+    content = F.when(F.col("latin"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return rows.select("doc_id", files.decoded(content).alias("text"))
+
+
+@_query(
+    """with p as (select vec_id, list_transform(embedding, lambda x: exp(cast(x as double) - cast(list_max(embedding) as double))) as e, list_position(embedding, list_max(embedding)) - 1 as best from embeddings)
+select vec_id, cast(best as integer) as "index", round(1 / list_sum(e), 9) as probability from p"""
+)
+def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest class of arrays of logits, and its probability."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    best = best_class(softmax(F.col("embedding")))
+    return rows.select("vec_id", best.alias("b")).select("vec_id", "b.index", F.round("b.probability", 9).alias("probability"))

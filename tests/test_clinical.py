@@ -1,6 +1,7 @@
 """The clinical operators: truth tables, properties, and small row-at-a-time models of the order-dependent ones."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -21,6 +22,9 @@ def test_numbers(spark):
     raw = ["4,5", "1.234,5", "4.500", "1 234", "234.5", "1.234.567", "12\n345", "020 345", "1,234.5"]
     assert column(spark, raw, numeric.to_double) == [4.5, 1234.5, 4.5, 1234.0, 234.5, None, None, 20345.0, 1234.5]
     assert column(spark, ["ng / ML", "NGML", "ng/l", "ng l", "x"], numeric.psa_unit) == ["ng/mL", "ng/mL", "ng/L", "ng/L", "x"]
+    logits = spark.createDataFrame([([1.0, 3.0, 3.0, 700.0, 700.0],), ([0.0],)], "x array<float>").select(numeric.softmax(F.col("x")).alias("p"))
+    best = logits.select(numeric.best_class(F.col("p")).alias("b"), "p").collect()
+    assert [(r.b["index"], r.b.probability, round(sum(r.p), 9)) for r in best] == [(3, 0.5, 1.0), (0, 1.0, 1.0)]
     assert column(spark, ["I", "iv", "X", "IIII", "", "11", "7", "1"], numeric.gleason_total) == [1, 4, 10, None, None, None, 7, None]
 
 
@@ -111,10 +115,10 @@ def entities(rnd, n):
     return [(rnd.choice("fg"), f"T{k}", rnd.choice("AB"), s, s + rnd.randrange(1, 5), "t") for k in range(n) for s in [rnd.randrange(8)]]
 
 
-def greedy_model(silver, predicted):
+def greedy_model(silver, predicted, files):
     order = lambda e: (e[3], e[4], e[2], e[5], e[1])
     out = Counter()
-    for f in {e[0] for e in silver} & {e[0] for e in predicted}:
+    for f in files:
         s, p = (sorted((e for e in side if e[0] == f), key=order) for side in (silver, predicted))
         found = []
         for i, a in enumerate(s):
@@ -128,8 +132,8 @@ def greedy_model(silver, predicted):
                 left.discard(i)
                 right.discard(j)
                 out["TP", s[i][1], p[j][1], ("exact", "same_start", "same_end")[kind]] += 1
-        out.update(("FN", s[i][1], None, None) for i in left)
-        out.update(("FP", None, p[j][1], None) for j in right)
+        out.update(("FN", s[i][1], None, "unmatched_silver") for i in left)
+        out.update(("FP", None, p[j][1], "unmatched_pred") for j in right)
     return out
 
 
@@ -138,18 +142,94 @@ def test_matching_is_the_greedy_assignment(spark):
     silver, predicted = entities(rnd, 60), entities(rnd, 70)
     s, p = spark.createDataFrame(silver, ENTITY), spark.createDataFrame(predicted, ENTITY)
     compared = matching.comparisons(s, p)
-    assert Counter((r.status, r.silver_entity_id, r.pred_entity_id, r.match_type) for r in compared.collect()) == greedy_model(silver, predicted)
-    total = matching.metrics(compared).first()
-    by_file, by_label = matching.metrics(compared, "file_name").collect(), matching.metrics(compared, "label").collect()
+    assert Counter((r.status, r.silver_entity_id, r.pred_entity_id, r.match_type) for r in compared.collect()) == greedy_model(silver, predicted, "fg")
+    files_ = names(spark, "f", "g")
+    total = matching.global_metrics(compared, files_).first()
+    by_file, by_label = matching.file_metrics(compared, files_).collect(), matching.label_metrics(compared).collect()
     for grain in (by_file, by_label):
         assert all(sum(r[c] for r in grain) == total[c] for c in ("tp", "fp", "fn"))
-    assert total.tp + total.fn == 60 and total.tp + total.fp == 70
-    assert matching.metrics(compared.limit(0)).first().f1 == 0
+    assert total.tp + total.fn == total.silver_entities == 60 and total.tp + total.fp == total.pred_entities == 70
+    assert matching.global_metrics(compared.limit(0), files_.limit(0)).first()[:4] == (0, 0, 0, 0)
+    ordered = [(r.file_name, r.status, r.silver_start, r.pred_start) for r in matching.in_report_order(compared).collect()]
+    assert [r[:2] for r in ordered] == sorted((r[:2] for r in ordered), key=lambda r: (r[0], ("TP", "FN", "FP").index(r[1])))
+
+
+def names(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "file_name string")
+
+
+def test_files_with_empty_annotations_count(spark):
+    """By definition: files of both folders are compared, whatever they hold; a file in one folder only is not."""
+    rnd = random.Random(5)
+    silver = [e for e in entities(rnd, 30) if e[0] == "f"] + [("b", "T1", "A", 0, 3, "t"), ("b", "T2", "A", 5, 9, "t"), ("one", "T1", "A", 0, 1, "t")]
+    predicted = [e for e in entities(rnd, 30) if e[0] == "f"] + [("c", "T1", "B", 0, 3, "t"), ("two", "T1", "A", 0, 1, "t")]
+    common = matching.paired_files(names(spark, "f", "b", "c", "none", "one"), names(spark, "none", "c", "b", "f", "two"))
+    s, p = spark.createDataFrame(silver, ENTITY), spark.createDataFrame(predicted, ENTITY)
+    compared = matching.comparisons(s, p, common)
+    assert Counter((r.status, r.silver_entity_id, r.pred_entity_id, r.match_type) for r in compared.collect()) == greedy_model(silver, predicted, ["f", "b", "c", "none"])
+    rows = {r.file_name: (r.tp, r.fp, r.fn, r.recall) for r in matching.file_metrics(compared, common).collect()}
+    assert rows["b"] == (0, 0, 2, 0.0) and rows["c"] == (0, 1, 0, 0.0) and rows["none"] == (0, 0, 0, 0.0) and len(rows) == 4
+    total = matching.global_metrics(compared, common).first()
+    assert total.evaluated_files == 4 and (total.tp, total.fp, total.fn) == tuple(sum(r[k] for r in rows.values()) for k in range(3))
+    grains = {(r.grain, r.file_name, r.label): (r.tp, r.fp, r.fn) for r in matching.metrics_all_grains(compared, common).collect()}
+    assert grains["global", None, None] == (total.tp, total.fp, total.fn) and grains["file", "none", None] == (0, 0, 0) and not [k for k in grains if k[0] == "label" and k[2] is None]
+    # two files, one without a prediction: recall is 1 of 3, not 1 of 1
+    s = spark.createDataFrame([("a", "T1", "A", 0, 3, "t"), ("b", "T1", "A", 0, 3, "t"), ("b", "T2", "A", 4, 6, "t")], ENTITY)
+    both = names(spark, "a", "b")
+    found = matching.global_metrics(matching.comparisons(s, s.where("file_name = 'a'"), both), both).first()
+    assert (found.fn, found.recall) == (2, round(1 / 3, 9))
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_plans_move_little(no_broadcast, tmp_path):
+    """Metrics move each entity once, by file, and nothing else but file names and sums; no text goes with tags or tokens."""
+    spark = no_broadcast
+    table = lambda name, schema: (spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}"), spark.read.parquet(f"{tmp_path}/{name}"))[1]
+    s, p, f = table("s", ENTITY), table("p", ENTITY), table("f", "file_name string")
+    plan = planned(matching.global_metrics(matching.comparisons(s, p, f), f))
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange SinglePartition" in line]
+    assert plan.count("FileScan parquet [file_name#") == 5 and plan.count(",entity_id#") >= 2 and len(exchanges) == 6
+    # the two sides' entities, the list of files (planned three times, read again at run time), the totals
+    assert sum("hashpartitioning(file_name#" in e and "," not in e.split("(file_name#")[1].split(",")[0] for e in exchanges) == 5 and plan.count("SinglePartition") == 1
+    assert len([line for line in plan.splitlines() if "FileScan" in line and "entity_id" in line]) == 2 and "BroadcastNestedLoop" not in plan
+    tagged = table("t", "doc_id long, tagged string")
+    assert "Exchange" not in planned(inline_tags.spans(tagged)) and "Exchange" not in planned(inline_tags.stats(tagged))
+    cut, texts = table("k", "doc_id long, model string, window_id int, idx int, st int, en int, label string, score double"), table("x", "doc_id long, text string")
+    spans = tokens.bio_spans(cut, texts, True)
+    tree = spans._jdf.queryExecution().sparkPlan().toString()
+    assert planned(spans).count("Exchange hashpartitioning") == 2 and "RepartitionByExpression" not in tree
+
+
+def test_many_tags_and_matches_take_little_time(spark):
+    many = "".join(f"<A>x{k}&lt; " if k % 3 else "</A>y" for k in range(24_000))
+    df = spark.createDataFrame([(0, many)], "doc_id long, tagged string")
+    inline_tags.spans(df.limit(0)).collect()
+    began = time.perf_counter()
+    found = inline_tags.spans(df).collect()
+    stats = inline_tags.stats(df).first()
+    seconds = time.perf_counter() - began
+    model = untag_model(many)
+    assert Counter((r.label, r.start, r.end, r.text) for r in found) == Counter(model[1]) and tuple(stats)[1:] == model[2]
+    assert seconds < 15
+    numbers = spark.createDataFrame([(0, "7 ng/mL, " * 8000)], "doc_id long, text string")
+    began = time.perf_counter()
+    places = [r.start for r in mentions.psa_mentions(numbers).collect()]
+    assert sorted(places) == [9 * k for k in range(8000)] and time.perf_counter() - began < 15
 
 
 def span_label_model(mentions_):
     kept = []
-    for e in sorted(mentions_, key=lambda m: (m[1], m[2], m[3])):
+    for e in sorted(mentions_, key=lambda m: (m[3], m[1], m[2])):  # in order of arrival
         hit = next((k for k in kept if k[0] == e[0] and (k[1] == e[1] or k[2] == e[2])), None)
         if hit is None:
             kept.append(e)
@@ -170,10 +250,76 @@ def test_dedup(spark):
     assert merged.where("file_name = 'none' and label is null").count() == 1 and merged.count() == once.count() + 1
 
 
+TOKEN_TEXTS = ["ab, cd-ef gh. ij kl mn/op (qr) st", "uno dos  tres; cuatro", "x" * 40]
+
+
+def token_rows():
+    """Windows of tokens with gaps, overlaps, tokens without length and special ones."""
+    rnd = random.Random(12)
+    out = []
+    for doc_id, text_ in enumerate(TOKEN_TEXTS):
+        for window in range(40):
+            at = 0
+            for idx in range(rnd.randrange(1, 12)):
+                st = at + rnd.choice((0, 0, 1, 1, 2, 3))
+                en = st + rnd.randrange(0, 4)
+                if en > len(text_):
+                    break
+                label = rnd.choice(("O", "B-X", "I-X", "I-X", "Y", "E-X", "B-Y"))
+                out.append((doc_id, "m", window, idx, *((0, 0) if rnd.random() < 0.1 else (st, en)), label, rnd.randrange(1, 64) / 64))
+                at = max(at, en)
+    return out
+
+
+def span_model(rows, average):
+    import re
+
+    out, current, key = Counter(), None, None
+
+    def close():
+        nonlocal current
+        if current:
+            kind, st, en, scores = current
+            cleaned = re.sub(r"\s+", " ", TOKEN_TEXTS[key[0]][st:en]).strip()
+            if cleaned:
+                out[(*key, kind, st, en, round(sum(scores) / len(scores) if average else min(scores), 9), cleaned)] += 1
+        current = None
+
+    for doc_id, _, window, idx, st, en, label, score in sorted(rows, key=lambda r: (r[0], r[2], r[3])):
+        if key != (doc_id, window):
+            close()
+            key = (doc_id, window)
+        if (st, en) == (0, 0):
+            if idx:
+                close()
+            continue
+        if en <= st:
+            continue
+        if label == "O":
+            close()
+            continue
+        prefix, _, kind = label.rpartition("-")
+        if current and current[0] == kind:
+            gap = TOKEN_TEXTS[doc_id][current[2] : st]
+            if st == current[2] or (prefix or "B") in "BI" and (st < current[2] or re.fullmatch(r"[\s\-/,;:.()]+", gap)):
+                current[2] = max(current[2], en)
+                current[3].append(score)
+                continue
+        close()
+        current = [kind, st, en, [score]]
+    close()
+    return out
+
+
 def test_chunks_and_spans(spark):
     rows = tokens.char_chunks(notes(spark, "x" * 25, "", None, "y" * 10), 10, 2).orderBy("doc_id", "chunk").collect()
     assert [tuple(r) for r in rows] == [(0, 0, 0, 10), (0, 1, 8, 18), (0, 2, 16, 25), (1, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 10)]
     words = "dolor abdominal, fuerte y tos"
+    df = spark.createDataFrame(token_rows(), "doc_id long, model string, window_id int, idx int, st int, en int, label string, score double")
+    texts = notes(spark, *TOKEN_TEXTS)
+    for average in (True, False):
+        spans = tokens.bio_spans(df, texts, average).collect()
+        assert Counter((r.doc_id, r.window_id, r.label, r.start, r.end, round(r.score, 9), r.text) for r in spans) == span_model(token_rows(), average)
     cut = [(0, 0, 0, "O", 0.0), (1, 0, 5, "B-S", 0.9), (2, 6, 15, "I-S", 0.7), (3, 17, 23, "B-S", 0.8), (4, 24, 25, "O", 0.9), (5, 26, 29, "B-S", 0.5)]
     df = spark.createDataFrame([(0, "m", 0, *t) for t in cut], "doc_id long, model string, window_id int, idx int, st int, en int, label string, score double")
     spans = tokens.bio_spans(df, notes(spark, words), average=False, low=0.6, high=1.0).collect()
