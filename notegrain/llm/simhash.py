@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notegrain.llm._common import checkpoint, id_and_text, pieces, table
@@ -52,6 +52,8 @@ BANDS, BAND_ROWS = 26, 6
 FILTER_BITS = 1 << 26
 #: Keys above this part of a join's rows are hot; fewer than so many can be.
 HOT_PARTS = 1000
+#: Keys of no more rows than this are never hot.
+HOT_ROWS = 1000
 #: Shingles hashed at a time, to bound memory on very long texts.
 _STEP = 1 << 15
 
@@ -180,7 +182,7 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, total: int) -> Dat
 
     Rows of hot keys (see HOT_PARTS) meet a broadcast of at most HOT_PARTS rows; only the others are shuffled.
     """
-    hot = right.where(F.col("size") > max(total // HOT_PARTS, 1)).drop("size")
+    hot = right.where(F.col("size") > max(total // HOT_PARTS, HOT_ROWS)).drop("size")
     names = [c for c in hot.columns if c != key]
     marked = left.join(F.broadcast(hot.withColumn("hot key", F.lit(True))), key, "left")
     found = marked.where(F.col("hot key")).drop("hot key")
@@ -231,6 +233,15 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
+def _with_least(rows: DataFrame, key: str, value: str, hot: list[int]) -> DataFrame:
+    """rows and m, the least value of their key; hot keys' least values are few and broadcast."""
+    found = rows.where(~F.col(key).isin(hot)).withColumn("m", F.min(value).over(Window.partitionBy(key)))
+    if not hot:
+        return found
+    few = rows.where(F.col(key).isin(hot))
+    return found.unionByName(few.join(F.broadcast(few.groupBy(key).agg(F.min(value).alias("m"))), key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component of every node in edges (u < v): the smallest node it can reach.
 
@@ -238,19 +249,22 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours on the smallest. At the end each node but the roots has one edge, to its component's smallest node.
     """
     now, before = checkpoint(edges), None
-    total = now.count()
     while True:
+        total = now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("size"))
-        large = join_counted(now, low, "u", total).where("m < v").select(F.col("m").alias("u"), "v").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("size"))
+        up = F.col("v") > F.col("u")
+        degrees = both.groupBy("u").agg(F.count("*").alias("n"), F.count_if(up).alias("larger"), F.bit_xor(F.when(up, F.xxhash64("u", "v"))).alias("x"))
+        hubs = F.collect_list(F.when(F.col("n") > max(2 * total // HOT_PARTS, HOT_ROWS), F.col("u")))
+        state = degrees.agg(F.sum("larger"), F.bit_xor("x"), F.sum(F.col("u").cast("decimal(38,0)") * F.col("larger")), hubs).first()
+        known, hot = (tuple(state)[:3], list(state[3])) if state else ((), [])
+        if known == before:
+            return now.select(F.col("v").alias("node"), F.col("u").alias("component"))
+        before = known
+        large = _with_least(both, "u", "v", hot).where(up).select(F.least("m", "u").alias("u"), "v").where("u < v")
         # of a node and its smaller neighbours: each smaller neighbour, and the node itself, goes to the smallest
-        small = join_counted(large, least, "v", total).select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), F.col("v").alias("v")))).alias("e"))
+        ends = F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), F.col("v").alias("v")))
+        small = _with_least(large, "v", "u", hot).select(F.explode(ends).alias("e"))
         now = checkpoint(small.select("e.u", "e.v").where("u < v").distinct())
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("component"))
-        before, total = state, state[0]
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, width: int = SHINGLE_WORDS, blocks: int | None = None) -> DataFrame:
