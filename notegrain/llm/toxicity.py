@@ -35,7 +35,7 @@ from notegrain.llm._common import checkpoint, id_and_text, pieces, table
 #: Labelled rows of either kind that the fit reads at most.
 SAMPLE = 2500
 #: Bytes of text that the fit reads at most, of either kind.
-SAMPLE_BYTES = 8 << 20
+SAMPLE_BYTES = 6 << 20
 #: A document is predicted toxic from this score on; a sentence is reported from this one on.
 THRESHOLD, SENTENCE_THRESHOLD = 0.7, 0.5
 #: Sentences that are combined at a time.
@@ -54,9 +54,18 @@ def sentences(text: str | None) -> list[tuple[int, str]]:
     return [(m.start(), m[0]) for m in _SENTENCE.finditer(text or "")] or [(0, "")]
 
 
+def beginnings(word: str) -> list[str]:
+    """Beginnings of a longer word, written with a star: inflected words share them."""
+    return [f"{word[:k]}*" for k in STEMS if len(word) > k]
+
+
+def plain_words(sentence: str) -> set[str]:
+    return set(_WORD.findall(sentence.lower()))
+
+
 def words(sentence: str) -> set[str]:
-    """Distinct words, and the beginnings of longer ones, written with a star: inflected words share them."""
-    found = set(_WORD.findall(sentence.lower()))
+    """Distinct words, and their beginnings."""
+    found = plain_words(sentence)
     return found.union(*[{f"{w[:k]}*" for w in found if len(w) > k} for k in STEMS])
 
 
@@ -90,7 +99,7 @@ def _bags(sample: DataFrame) -> pa.Table:
             out: list[list] = [[], [], [], [], []]
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 place: dict[str, int] = {}
-                spans = [sorted(words(s)) for _, s in sentences(text)]
+                spans = [sorted(plain_words(s)) for _, s in sentences(text)]
                 hits = [(k, place.setdefault(w, len(place))) for k, found in enumerate(spans) for w in found]
                 for column, value in zip(out, (label, len(spans), list(place), [h[0] for h in hits], [h[1] for h in hits]), strict=True):
                     column.append(value)
@@ -155,6 +164,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[float
     hits = pc.list_value_length(bags["sentence"]).to_numpy()
     row = pc.list_flatten(sentences_in).to_numpy() + np.repeat(np.cumsum(sizes) - sizes, hits)
     word = code[pc.list_flatten(bags["word"]).to_numpy() + np.repeat(words_before, hits)]
+    # beginnings are features too; a sentence has each once
+    place = {w: k for k, w in enumerate(vocabulary)}
+    own = [[place.setdefault(b, len(place)) for b in beginnings(w)] for w in vocabulary]
+    vocabulary = list(place)
+    parts = [row * len(place) + word]
+    for k in range(len(STEMS)):
+        beginning = np.array([o[k] if k < len(o) else -1 for o in own])[word]
+        parts.append((row * len(place) + beginning)[beginning >= 0])
+    row, word = np.divmod(np.unique(np.concatenate(parts)), len(place))
     bias, weight = fit_noisy_or(bags["label"].to_numpy(), np.repeat(np.arange(len(sizes)), sizes), row, word, len(vocabulary))
     return bias, {vocabulary[k]: float(weight[k]) for k in np.flatnonzero(weight)}
 
