@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, read by Spark so that any store it knows will do."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,10 +36,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch; the same for all operators, whichever is planned last.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Session setting: Arrow batches of at most BATCH_BYTES, unless they are smaller already.
+
+    Two batches in each of a worker's tasks are then little beside an executor's memory. Row limits are left alone.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"\d+", spark.conf.get(name))
+    if not now or not 0 < int(now[0]) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut, without a copy, into runs of so many rows, and of about so many bytes, at most.
 
-    The session's own limits stay as they are. A row above the size is a piece by itself.
+    Operators differ in what they can hold, so they cut for themselves. A row above the size is a piece by itself.
     """
     for batch in batches:
         at, each = 0, max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
