@@ -63,3 +63,41 @@ def run_log(answers: DataFrame, system: str, template: str, provider: str = "ope
         "file_name", "status", F.when(empty, 0).otherwise(F.length("case")).alias("input_chars"), F.when(ok, F.length("n.note")).otherwise(0).alias("output_chars"),
         F.when(called, prompt_hash(F.col("case"), system, template, provider)).alias("prompt_hash"), F.when(ok, F.sha1("n.note")).alias("response_hash"),
     )
+
+
+def results(rows: DataFrame, model: str, system: str, template: str, provider: str = "openai") -> DataFrame:
+    """input_path, output_path, case, content, thinking, status, error, latency_s -> log rows, with the note.
+
+    Statuses are empty_input and skipped_existing as they come, ok and empty_output by what the answer holds, and what a
+    failed call says.
+    """
+    called = ~F.col("status").isin("empty_input", "skipped_existing")
+    answered = F.col("status").isin("ok", "rejected")
+    note = resolve_note(F.coalesce("content", F.lit("")), F.coalesce("thinking", F.lit("")), provider)["note"]
+    seen = rows.withColumn("note", F.when(answered, note).otherwise("")).withColumn("case", F.coalesce("case", F.lit("")))
+    status = F.when(answered, F.when(F.col("note") == "", "empty_output").otherwise("ok")).otherwise(F.col("status"))
+    return seen.select(
+        "input_path", "output_path", status.alias("status"), F.when(status == "ok", "").otherwise(F.coalesce("error", F.lit(""))).alias("error"), F.coalesce("latency_s", F.lit(0.0)).alias("latency_s"),
+        F.length("case").alias("input_chars"), F.length("note").alias("output_chars"), F.lit(model).alias("model"), F.when(called, prompt_hash(F.col("case"), system, template, provider)).otherwise("").alias("prompt_hash"),
+        F.when(F.col("note") != "", F.sha1("note")).otherwise("").alias("response_hash"), "note", "raw",
+    )
+
+
+def note_files(done: DataFrame, folder: str) -> DataFrame:
+    """file_name (below the folder), content of the notes that came out well."""
+    name = F.substring("output_path", len(folder.rstrip("/")) + 2, 1 << 20)
+    return done.where("status = 'ok'").select(name.alias("file_name"), F.concat(strip(F.col("note")), F.lit("\n")).alias("content"))
+
+
+def error_files(done: DataFrame) -> DataFrame:
+    """file_name (in _errors), content of a record for each call without a note."""
+    base = F.regexp_replace(F.element_at(F.split("input_path", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    name = F.concat(F.lit("_errors/"), base, F.lit("."), "status", F.lit(".error.json"))
+    record = F.struct("input_path", "output_path", "status", "error", "model", "latency_s", "input_chars", F.col("raw").alias("raw_json"))
+    failed = done.where(~F.col("status").isin("ok", "empty_input", "skipped_existing"))
+    return failed.select(name.alias("file_name"), F.concat(F.to_json(record, {"pretty": "true", "ignoreNullFields": "false"}), F.lit("\n")).alias("content"))
+
+
+def log_rows(done: DataFrame) -> DataFrame:
+    """The run's log: seconds with three decimals, no notes."""
+    return done.drop("note", "raw").withColumn("latency_s", F.format_string("%.3f", "latency_s")).orderBy("input_path")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,24 @@ def parse_json(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(plain), F.try_parse_json(F.regexp_extract(plain, r"(?s)\{.*\}", 0)))
 
 
+def complete_answer(text: str) -> bool:
+    """Whether an answer parses (see parse_json) and has all nine scores; asked of each answer where it arrives."""
+    plain = re.sub(r"(?s)<think>.*?</think>", "", text or "").strip()
+    braces = re.search(r"(?s)\{.*\}", plain)
+    for part in (plain, braces[0] if braces else ""):
+        try:
+            found = json.loads(part)
+            break
+        except ValueError:
+            continue
+    else:
+        return False
+    try:
+        return all(1 <= int(found[k]["score"]) <= 5 for k in SCORES)
+    except (KeyError, TypeError, ValueError, OverflowError):
+        return False
+
+
 def as_flag(value: Column, path: str) -> Column:
     """Booleans, words for them, and numbers; all else is false."""
     word = F.lower(strip(F.try_variant_get(value, path, "string")))
@@ -32,7 +53,8 @@ def as_flag(value: Column, path: str) -> Column:
 
 def validated(answers: DataFrame) -> DataFrame:
     """strategy, file_name, relative_path, raw_text and others -> all but raw_text, and parse_error, <score>, <score>_justification, flags."""
-    rows = answers.withColumn("v", parse_json(F.coalesce("raw_text", F.lit(""))))
+    # exploded, so that a filter on the result doesn't parse anew for each score
+    rows = answers.select("*", F.explode(F.array(parse_json(F.coalesce("raw_text", F.lit(""))))).alias("v"))
     kind = F.schema_of_variant(F.col("v"))
     error = F.when(F.col("v").isNull(), "invalid_json").when(~kind.startswith("OBJECT"), "unexpected_type")
     columns = []
@@ -52,6 +74,17 @@ def flat_rows(answers: DataFrame, model: str, provider: str) -> DataFrame:
     return validated(answers).select(*known, *scores, *FLAGS, "parse_error")
 
 
+def success_records(answers: DataFrame, model: str, provider: str) -> DataFrame:
+    """filename, strategy, relative_path, filepath, model, provider, result (scores with justifications, and flags)."""
+    result = [F.struct(F.col(f"{k}_score").alias("score"), F.col(f"{k}_justification").alias("justification")).alias(k) for k in SCORES]
+    return flat_rows(answers, model, provider).select("filename", "strategy", "relative_path", "filepath", "model", "provider", F.struct(*result, *FLAGS).alias("result"))
+
+
+def error_records(answers: DataFrame, model: str, provider: str) -> DataFrame:
+    """The same of notes without a valid answer, with parse_error for the result."""
+    return answers.select(F.col("file_name").alias("filename"), "strategy", "relative_path", F.col("file_path").alias("filepath"), F.lit(model).alias("model"), F.lit(provider).alias("provider"), F.col("error").alias("parse_error"))
+
+
 def complete(flat: DataFrame) -> DataFrame:
     """Rows whose nine scores are all there."""
     every = F.col("parse_error").isNull()

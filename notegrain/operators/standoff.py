@@ -32,15 +32,21 @@ def parse_spans(lines: DataFrame) -> DataFrame:
 
 
 def ann_lines(entities: DataFrame, clean_label: bool = True) -> DataFrame:
-    """file_name, label, start, end, text -> numbered standoff lines; labels without blanks, texts without line ends."""
+    """file_name, label, start, end, text -> numbered standoff lines; texts without line feeds.
+
+    With clean_label also labels are without blanks and texts without carriage returns, which else stay.
+    """
     number = F.row_number().over(Window.partitionBy("file_name").orderBy("start", "end", "label", "text"))
     label = F.replace(F.col("label"), F.lit(" "), F.lit("_")) if clean_label else F.col("label")
-    flat = F.translate(F.col("text"), "\r\n", "  ")
+    flat = F.translate(F.col("text"), "\r\n", "  ") if clean_label else F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     line = F.concat(F.lit("T"), number.cast("string"), F.lit("\t"), label, F.lit(" "), F.col("start").cast("string"), F.lit(" "), F.col("end").cast("string"), F.lit("\t"), flat)
     return entities.select("file_name", number.alias("number"), line.alias("line"))
 
 
-def ann_documents(lines: DataFrame) -> DataFrame:
-    """One text for each file; entities of a file are few by nature."""
+def ann_documents(lines: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """file_name, content: one text for each file; entities of a file are few by nature. documents without lines are empty."""
     ordered = F.array_sort(F.collect_list(F.struct("number", "line")))
-    return lines.groupBy("file_name").agg(F.concat(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
+    found = lines.groupBy("file_name").agg(F.concat(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
+    if documents is None:
+        return found
+    return documents.select("file_name").join(found, "file_name", "left").select("file_name", F.coalesce("content", F.lit("")).alias("content"))

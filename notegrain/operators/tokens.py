@@ -58,13 +58,23 @@ def bio_spans(tokens: DataFrame, texts: DataFrame, average: bool, low: float | N
     return named.where("text <> ''")
 
 
-def char_chunks(docs: DataFrame, size: int = 40_000, overlap: int = 2_000) -> DataFrame:
-    """doc_id, text -> chunk, start, end: windows that overlap; an empty text has one empty chunk."""
-    n = F.length(F.coalesce("text", F.lit("")))
+def _windows(n: Column, size: int, overlap: int) -> Column:
+    """array<struct<chunk, start, end>> over n characters."""
     if size <= 0:
-        return docs.select("doc_id", F.lit(0).alias("chunk"), F.lit(0).alias("start"), n.alias("end"))
+        return F.array(F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("start"), n.alias("end")))
     step = max(1, size - max(0, overlap))
     # the last window is the first one that reaches the end
     last = F.greatest(F.ceil((n - size) / F.lit(float(step))), F.lit(0)).cast("int")
-    rows = docs.select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-    return rows.select("doc_id", "chunk", (F.col("chunk") * step).alias("start"), F.least(F.col("chunk") * step + size, F.col("n")).alias("end"))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("chunk"), (k * step).alias("start"), F.least(k * step + size, n).alias("end")))
+
+
+def char_chunks(docs: DataFrame, size: int = 40_000, overlap: int = 2_000) -> DataFrame:
+    """doc_id, text -> chunk, start, end: windows that overlap; an empty text has one empty chunk."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", F.explode(_windows(n, size, overlap)).alias("w")).select("doc_id", "w.*")
+
+
+def chunk_texts(docs: DataFrame, size: int = 40_000, overlap: int = 2_000) -> DataFrame:
+    """doc_id, chunk, start, text: the windows with their texts."""
+    rows = docs.select("doc_id", "text", F.explode(_windows(F.length("text"), size, overlap)).alias("w"))
+    return rows.select("doc_id", "w.chunk", "w.start", F.substring(F.col("text"), F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("text"))

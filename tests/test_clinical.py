@@ -387,9 +387,17 @@ def test_services(spark, config):
     assert rows["a"].content == "<flaky>" and rows["a"].attempts == 2 and rows["a"].error is None
     assert rows["b"].attempts == 3 and rows["b"].error == "TimeoutError: slow"
     chunks = spark.createDataFrame([(1, 0, 100, "abcdefghijklmnop")], "doc_id long, chunk int, start int, text string")
-    out = services.classify_chunks(chunks, "m", FakeClassifier).orderBy("st").collect()
+    out = services.classify_chunks(chunks, {"m": FakeClassifier}).orderBy("st").collect()
     assert [(r.st, r.en) for r in out] == [(100, 104), (104, 108), (108, 112), (112, 116)]
-    assert services.answer_text("openai", {"output": [{"content": [{"text": "x"}]}]}) == ("x", "")
+    assert services.answer_text("openai", {"output": [{"type": "message", "content": [{"text": " x"}, {"text": "y "}]}, {"type": "reasoning", "content": [{"text": "z"}]}]}) == ("x\ny", "")
+    assert services.answer_text("claude", {"content": [{"type": "thinking", "text": "no"}, {"type": "text", "text": " a "}, {"type": "text", "text": "b"}]}) == ("a\nb", "")
+    assert services.answer_text("ollama", {"message": {"content": " c ", "thinking": "t"}}) == ("c", "t") and services.answer_text("ollama", {"message": None, "response": "r "}) == ("r", "")
+    assert services.answer_text("zai", {"choices": [{"message": {"content": " d"}}]}) == ("d", "")
+    assert services.diagnostics("openai", {"status": "incomplete", "incomplete_details": {"reason": "max"}, "usage": {"output_tokens": 0}}) == "status=incomplete incomplete_reason=max output_tokens=0 reasoning_tokens=unknown"
+    assert services.diagnostics("claude", {"usage": {"input_tokens": 3, "cache_read_input_tokens": 1}}) == "stop_reason=unknown input_tokens=3 output_tokens=unknown cache_read=1"
+    body = services.request_body(config, "s", "p")
+    assert body["messages"][1] == {"role": "user", "content": "p"} and "think" not in body and "format" not in body
+    assert [services.longest_window(*a) for a in ((514, 10**30, 0), (None, 512, 128), (None, None), (600, 512, 0))] == [514, 128, 512, 512]
 
 
 def test_files_and_stream(spark, tmp_path):
@@ -401,7 +409,18 @@ def test_files_and_stream(spark, tmp_path):
     folder = str(tmp_path / "in")
     found = {r.file_name: (r.patient_id, r.text) for r in files.read_notes(spark, folder).collect()}
     assert found["b.TXT"] == (0, "mañana PSA 4 ng/mL\n") and found["a.txt"][0] == 1
-    assert {(r.strategy, r.file_name) for r in files.discover_notes(spark, folder).collect()} == {("in", "a.txt"), ("E2E", "b.TXT")}
+    assert [(r.strategy, r.file_name, r.relative_path) for r in files.discover_notes(spark, folder).collect()] == [("E2E", "b.TXT", "E2E/b.TXT"), ("in", "a.txt", "a.txt")]
+    odd = tmp_path / "notes (v2) a+b"
+    (odd / "E2E").mkdir(parents=True)
+    (odd / "E2E" / "c.txt").write_text("x", encoding="utf-8")
+    (odd / "done").mkdir()
+    (odd / "done" / "d.txt").write_text("x", encoding="utf-8")
+    (odd / "done2").mkdir()
+    (odd / "done2" / "e.txt").write_text("x", encoding="utf-8")
+    assert [(r.strategy, r.relative_path) for r in files.discover_notes(spark, str(odd), str(odd / "done")).collect()] == [("E2E", "E2E/c.txt"), ("done2", "done2/e.txt")]
+    assert column(spark, ["a/b.c.TXT", ".hidden", "x"], lambda c: files.output_path(c, "out")) == ["out/a/b.c.txt", "out/.hidden.txt", "out/x.txt"]
+    many = spark.createDataFrame([(f"p{k:03d}",) for k in range(100)], "file_path string").repartition(7)
+    assert {r.file_path: r.patient_id for r in files.numbered(many).collect()} == {f"p{k:03d}": k for k in range(100)} and files.numbered(many.limit(0)).count() == 0
     assert [r.stem for r in files.pairs(spark, folder).collect()] == ["a"]
     assert standoff.parse_lines(files.ann_file_lines(spark, folder)).count() == 1
     assert column(spark, ["p.tagged", "patient", "x"], files.restored_name) == ["p", "patien", "x"]

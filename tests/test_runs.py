@@ -1,0 +1,303 @@
+"""Whole runs over small folders, with fakes for models and services."""
+
+import csv
+import json
+import threading
+from collections import Counter
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
+import pytest
+
+from notegrain.__main__ import run
+from notegrain.operators import clients, extraction, judging, services
+from notegrain.plans import runs
+from notegrain.sources import files
+
+SCORES = {k: {"score": 4, "justification": " j "} for k in judging.SCORES}
+
+
+def written(folder, pattern="*"):
+    return {p.relative_to(folder).as_posix(): p.read_text(encoding="utf-8") for p in sorted(folder.rglob(pattern)) if p.is_file() and not p.name.startswith(".")}
+
+
+def table(spark, path):
+    return [r.asDict() for r in spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(path)).collect()]
+
+
+def put(folder, **texts):
+    for name, text in texts.items():
+        path = folder / name.replace("__", "/").replace("_dot_", ".")
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text, encoding="utf-8")
+
+
+class RateLimitError(Exception):
+    pass
+
+
+class StatusError(Exception):
+    status_code = 503
+
+
+class Writer:
+    """Answers by what the case says."""
+
+    def __init__(self, config):
+        self.provider = config.provider
+
+    def send(self, body):
+        case = json.dumps(body)
+        for word, failure in (("busy", RateLimitError), ("late", TimeoutError), ("down", StatusError), ("odd", ValueError)):
+            if word in case:
+                raise failure(word)
+        text = "" if "mute" in case else "---INICIO--- nota ---FIN---"
+        if self.provider == "claude":
+            return {"content": [{"type": "text", "text": text}]}
+        return {"message": {"content": text}}
+
+
+@pytest.mark.parametrize("provider", ["claude", "ollama", "openai"])
+def test_generate(spark, tmp_path, provider):
+    source, target = tmp_path / "in", tmp_path / "out (1)"
+    put(source, a_dot_txt="caso", sub__b_dot_txt="busy", c_dot_txt="late", d_dot_txt="down", e_dot_txt="odd", f_dot_txt=" \n", g_dot_txt="mute", h_dot_txt="there", i_dot_txt="void")
+    put(target, h_dot_txt="old", i_dot_txt="")
+    config = files.ServiceConfig(provider if provider != "openai" else "ollama_like", "m", attempts=1, pause_s=0.0)
+    if provider == "openai":  # the same rules for what is there, by another provider's name
+        config = files.ServiceConfig("openai", "m", attempts=1, pause_s=0.0)
+    counts = runs.generate(spark, str(source), str(target), config, Writer if provider != "openai" else OpenWriter, "sys", "t {CASE_TEXT}")
+    out = written(target)
+    assert out["a.txt"] == "nota\n" and out["h.txt"] == "old"
+    errors = {k: json.loads(v) for k, v in out.items() if k.startswith("_errors")}
+    log = {r["input_path"].rsplit("/", 1)[1]: r for r in table(spark, target / "log.csv")}
+    assert log["a.txt"]["status"] == "ok" and log["a.txt"]["output_chars"] == "4" and log["a.txt"]["output_path"].endswith("/out (1)/a.txt")
+    assert log["f.txt"]["status"] == "empty_input" and log["g.txt"]["status"] == "empty_output" and len(log["a.txt"]["latency_s"].split(".")[1]) == 3
+    if provider == "claude":
+        assert {"_errors/b.rate_limit_error.error.json", "_errors/c.timeout_error.error.json", "_errors/d.api_error_503.error.json", "_errors/e.error.error.json", "_errors/g.empty_output.error.json"} == set(errors)
+        assert counts == {"ok": 1, "rate_limit_error": 1, "timeout_error": 1, "api_error_503": 1, "error": 1, "empty_output": 1, "empty_input": 1}
+    elif provider == "ollama":  # an empty output is made again
+        assert counts == {"ok": 2, "error": 4, "empty_output": 1, "empty_input": 1} and out["i.txt"] == "nota\n"
+    else:
+        assert counts == {"ok": 1, "error": 4, "empty_output": 1, "empty_input": 1, "skipped_existing": 2} and out["i.txt"] == "" and log["h.txt"]["input_chars"] == "5" and not log["h.txt"]["prompt_hash"]
+    assert errors["_errors/e.error.error.json"]["error"] == "ValueError: odd" and errors["_errors/e.error.error.json"]["raw_json"] is None
+
+
+class OpenWriter(Writer):
+    def send(self, body):
+        return {"output_text": super().send(body)["message"]["content"]}
+
+
+class Critic:
+    def __init__(self, config):
+        self.seen = Counter()
+
+    def send(self, body):
+        note = body["messages"][1]["content"]
+        self.seen[note] += 1
+        if "bad" in note or ("flaky" in note and self.seen[note] == 1):
+            return {"message": {"content": "<think>x</think>no json"}}
+        if "down" in note:
+            raise TimeoutError("down")
+        return {"message": {"content": "Fine: " + json.dumps(SCORES | {"human_generated": "sí"})}}
+
+
+def test_judge(spark, tmp_path):
+    source, target = tmp_path / "notes", tmp_path / "scores"
+    put(source, E2E__n1_dot_txt="good", T2E__n1_dot_txt="good too", E2E__n2_dot_txt="bad", T2E__n2_dot_txt="flaky", n3_dot_txt="down", E2E__old_dot_txt="x", T2E__csv_dot_txt="y", log_dot_txt="z")
+    target.mkdir()
+    done = {"filename": "old.txt", "result": SCORES}
+    bad = {"filename": "n1.txt", "result": SCORES | {"util": {"score": 9}}}
+    (target / "results.jsonl").mkdir()
+    (target / "results.jsonl" / "part-0.json").write_text("\n".join(["", "{", "[1]", json.dumps(done), json.dumps(bad)]), encoding="utf-8")
+    (target / "results.csv").mkdir()
+    with open(target / "results.csv" / "part-0.csv", "w", newline="", encoding="utf-8") as f:
+        out = csv.DictWriter(f, ["filename", "strategy", "relative_path", *[f"{k}_score" for k in judging.SCORES]])
+        out.writeheader()
+        out.writerow({"filename": "csv.txt"} | {f"{k}_score": "4.7" for k in judging.SCORES})
+        out.writerow({"filename": "n1.txt"} | {f"{k}_score": "nan" for k in judging.SCORES})
+    config = files.ServiceConfig("ollama", "m", attempts=3, pause_s=0.0)
+    assert runs.judge(spark, str(source), str(target), config, Critic, "sys", "{generated_note}", debug=True) == {"found": 7, "processed": 2, "errors": 2, "skipped": 3}
+    lines = [json.loads(x) for p in (target / "results.jsonl").glob("part*") for x in p.read_text(encoding="utf-8").splitlines() if '"provider"' in x]
+    assert {(r["filename"], r["strategy"]) for r in lines} == {("n1.txt", "E2E"), ("n2.txt", "T2E")}
+    assert lines[0]["result"]["precisa"] == {"score": 4, "justification": "j"} and lines[0]["result"]["human_generated"] is True and lines[0]["provider"] == "ollama"
+    failed = [json.loads(x) for p in (target / "parse_errors.jsonl").glob("part*") for x in p.read_text(encoding="utf-8").splitlines()]
+    assert {(r["filename"], r["strategy"], r["parse_error"]) for r in failed} == {("n2.txt", "E2E", "The answer is not accepted."), ("n3.txt", "notes", "TimeoutError: down")}
+    assert {r.file_name for r in files.completed_names(spark, str(target / "results.jsonl"), str(target / "results.csv")).collect()} == {"old.txt", "csv.txt", "n1.txt", "n2.txt"}
+    again = runs.judge(spark, str(source), str(target), config, Critic, "sys", "{generated_note}")
+    assert again == {"found": 7, "processed": 0, "errors": 1, "skipped": 6}
+    assert files.completed_names(spark, str(tmp_path / "none.jsonl"), str(tmp_path / "none.csv")).count() == 0
+
+
+def test_answers_are_judged_alike_in_python_and_in_columns(spark):
+    answers = [json.dumps(SCORES), "x " + json.dumps(SCORES) + " y", "no", "[1]", "", json.dumps(SCORES | {"util": {"score": 0}}), json.dumps(SCORES | {"util": {"score": 4.7}}), json.dumps(SCORES | {"util": {"score": "4"}}), json.dumps(SCORES | {"util": {"score": "4.7"}})]
+    answers += [json.dumps(SCORES | {"util": {"score": True}}), json.dumps({k: v for k, v in SCORES.items() if k != "util"}), json.dumps(SCORES | {"util": 3}), json.dumps(SCORES | {"util": {"score": None}}), "<think>{}</think>" + json.dumps(SCORES)]
+    rows = spark.createDataFrame([("s", str(k), "", a) for k, a in enumerate(answers)], "strategy string, file_name string, relative_path string, raw_text string")
+    good = {int(r.file_name) for r in judging.complete(judging.validated(rows)).collect()}
+    assert good == {k for k, a in enumerate(answers) if judging.complete_answer(a)} == {0, 1, 6, 7, 9, 13}
+
+
+def test_tag_and_untag(spark, tmp_path):
+    put(tmp_path / "in", p_dot_txt="no fiebre & tos", p_dot_ann="T1\tNeg_cue 0 2\tno\nT2\tNegated 0 9\tno fiebre\nR1\tx\n", q_dot_txt="alone")
+    assert run(["tag", "--input-dir", str(tmp_path / "in"), "--output-dir", str(tmp_path / "tagged")], spark) == {"files": 1}
+    assert written(tmp_path / "tagged") == {"pt.txt": "<Negated><Neg_cue>no</Neg_cue> fiebre</Negated> &amp; tos"}
+    put(tmp_path / "tagged", r_dot_tagged_dot_txt="x <A>y</B> < z")
+    counts = run(["untag", "--input-dir", str(tmp_path / "tagged"), "--output-dir", str(tmp_path / "plain")], spark)
+    assert counts == {"files": 4, "malformed_tag_starts": 1, "unmatched_closing_tags": 1, "unclosed_open_tags": 1}
+    out = written(tmp_path / "plain")
+    assert out == {"p.txt": "no fiebre & tos", "p.ann": "T1\tNeg_cue 0 2\tno\nT2\tNegated 0 9\tno fiebre\n", "r.txt": "x y < z", "r.ann": ""}
+
+
+class Words:
+    """A word of a's is an A, of b's a B; windows of eight characters that overlap by four; crash: raises."""
+
+    def windows(self, text):
+        if "crash" in text:
+            raise KeyError("crash")
+        return [(k, text[k : k + 8]) for k in range(0, max(1, len(text) - 4), 4)]
+
+    def classify(self, windows):
+        if len(windows) > 3:
+            raise RuntimeError("memory")
+        out = []
+        for at, text in windows:
+            tokens, start = [(0, 0, "O", 1.0)], 0
+            for word in text.split(" "):
+                kind = {"a": "B-A", "b": "B-B"}.get(word[:1], "O")
+                tokens.append((at + start, at + start + len(word), kind, 0.9 if len(word) > 1 else 0.5))
+                start += len(word) + 1
+            out.append(tokens)
+        return out
+
+
+class Others(Words):
+    """The same, without crashing."""
+
+    def windows(self, text):
+        return super().windows(text.replace("crash", "-----"))
+
+
+TEXTS = ["aaa bbb ccc aaaa b aa", "x", "", "aa crash bb", "bbbb aaaa " * 6]
+
+
+def model_of(text, names, chunk, overlap, low):
+    """The definition, one document at a time."""
+
+    def fold(found):
+        kept = []
+        for e in found:
+            hit = next((k for k in kept if k[0] == e[0] and (k[1] == e[1] or k[2] == e[2])), None)
+            if hit is None:
+                kept.append(e)
+            elif e[2] - e[1] > hit[2] - hit[1]:
+                kept.remove(hit)
+                kept.append(e)
+        return sorted(kept, key=lambda e: (e[1], e[2], e[0]))
+
+    found, errors, seen = [], [], set()
+    for name, classifier in names.items():
+        own = []
+        starts = [0]
+        while text and starts[-1] + chunk < len(text):
+            starts.append(starts[-1] + chunk - overlap)
+        try:
+            for s in starts if text else ():
+                part = text[s : s + chunk]
+                spans = []
+                for tokens in classifier().classify_all(part) if hasattr(classifier, "classify_all") else [classifier().classify([w])[0] for w in classifier().windows(part)]:
+                    last = None
+                    for a, b, kind, score in tokens[1:]:
+                        if b <= a:
+                            continue
+                        if kind == "O":
+                            last = None
+                        elif last and last[0] == kind[2:] and (part[last[2] : a].strip(" ") == ""):
+                            last[2], last[3] = b, min(last[3], score)
+                        else:
+                            last = [kind[2:], a, b, score]
+                            spans.append(last)
+                own += fold([(k, s + a, s + b) for k, a, b, score in spans if score >= low])
+        except KeyError as e:
+            errors.append(f"{name}: KeyError: {e}")
+            continue
+        for e in fold(own):
+            if e not in seen:
+                seen.add(e)
+                found.append((name, *e, text[e[1] : e[2]]))
+    return found, errors
+
+
+def test_extract(spark, tmp_path):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
+    flow = extraction.Workflow({"words": Words, "others": Others}, average=False, batch=16, chunk=20, overlap=6)
+    found, errors = extraction.extract(docs, flow)
+    wanted, failed = Counter(), Counter()
+    for k, t in enumerate(TEXTS):
+        rows, lost = model_of(t.strip(), flow.models, 20, 6, 0.85)
+        wanted.update((k, *r) for r in rows)
+        failed.update((k, e) for e in lost)
+    assert Counter((r.doc_id, r.model, r.label, r.start, r.end, r.text) for r in found.collect()) == wanted and len(wanted) > 12
+    assert Counter((r.doc_id, r.error) for r in errors.collect()) == failed and sum(failed.values()) == 1
+
+
+def test_extract_folder(spark, tmp_path):
+    source = tmp_path / "notes"
+    put(source, a_dot_txt="aaa Gleason 3+4=7, PSA 4 ng/mL", sub__b_dot_txt="nada", c_dot_txt="aa crash")
+    target = source / "SilverMentions"
+    put(target, stale_dot_ann="T1\tX 0 1\tx\n", keep_dot_txt="PSA 9 ng/mL")
+    counts = runs.extract(spark, str(source), str(target), {"one": extraction.Workflow({"words": Words}, average=False)})
+    assert counts == {"files": 3, "mentions": 3}
+    out = written(target)
+    assert out["a.ann"].splitlines() == ["T1\tA 0 3\taaa", "T2\tGLEASON 4 17\tGleason 3+4=7", "T3\tPSA 23 30\t4 ng/mL"] and out["b.ann"] == out["c.ann"] == "" and "stale.ann" not in out
+    record = json.loads(out["etiquetas/one/json_por_paciente/patient_0.json"])
+    assert record["num_entities"] == 1 and record["entities"][0] == {"text": "aaa", "label": "A", "score": 0.9, "start": 0, "end": 3, "model": "words"} and record["age"] is None and record["ner_char_chunk_size"] == 40_000
+    assert json.loads(out["etiquetas/one/json_por_paciente/patient_1.json"])["errors"] == ["words: KeyError: 'crash'"]
+    assert [r["entity_text"] for r in table(spark, target / "etiquetas" / "one" / "menciones_ner_one.csv")] == ["aaa"]
+    assert [(r["file_name"], r["match_index"], r["total"]) for r in table(spark, target / "etiquetas" / "gleason" / "gleason_mentions_simple.csv")] == [("a.txt", "1", "7")]
+
+
+def test_evaluate(spark, tmp_path):
+    put(tmp_path / "s", a_dot_ann="T1\tA 0 3\tx\nT2\tB 5 9\ty\n", b_dot_ann="T1\tA 0 3\tx\n", only_dot_ann="T1\tA 0 3\tx\n")
+    put(tmp_path / "p", a_dot_ann="T1\tA 0 4\tX\n", b_dot_ann="")
+    command = ["evaluate", "--silver-ann-dir", str(tmp_path / "s"), "--pred-ann-dir", str(tmp_path / "p"), "--output-dir", str(tmp_path / "m")]
+    row = run(command, spark)
+    assert (row["evaluated_files"], row["tp"], row["fp"], row["fn"], row["recall"]) == (2, 1, 0, 2, round(1 / 3, 9))
+    assert [(r["file_name"], r["tp"], r["fn"], r["silver_file_present"]) for r in table(spark, tmp_path / "m" / "file_level_metrics.csv")] == [("a.ann", "1", "1", "1"), ("b.ann", "0", "1", "1")]
+    detail = table(spark, tmp_path / "m" / "detailed_entity_comparisons.csv")
+    assert [(r["status"], r["match_type"], r["same_text"], r["pred_start"]) for r in detail] == [("TP", "same_start", "1", "0"), ("FN", "unmatched_silver", "0", None), ("FN", "unmatched_silver", "0", None)]
+    assert {r["label"]: r["fn"] for r in table(spark, tmp_path / "m" / "label_level_metrics.csv")} == {"A": "1", "B": "1"}
+
+
+class Handler(BaseHTTPRequestHandler):
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        code = 429 if body["model"] == "busy" else 200
+        said = json.dumps([1] if body["model"] == "list" else {"message": {"content": self.path + " " + str(self.headers["Authorization"])}})
+        self.send_response(code)
+        self.end_headers()
+        self.wfile.write(said.encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_http_client():
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    config = files.ServiceConfig("ollama", "m", base_url=f"http://127.0.0.1:{server.server_port}/", api_key="k")
+    client = clients.HttpClient(config)
+    assert services.answer_text("ollama", client.send(services.request_body(config, "s", "p"))) == ("/api/chat Bearer k", "")
+    with pytest.raises(clients.ServiceError) as failure:
+        client.send({"model": "busy"})
+    assert services.failure_status("claude", failure.value) == "rate_limit_error" and services.failure_status("ollama", failure.value) == "error"
+    with pytest.raises(ValueError):
+        client.send({"model": "list"})
+    server.shutdown()
+
+
+def test_settings():
+    config = files.service_config("ollama", {"OLLAMA_MODEL": "x", "OLLAMA_THINK": "no", "OLLAMA_FORMAT_JSON": "0", "OLLAMA_OPTIONS_JSON": '{"seed": 1}'}, judge=True)
+    assert (config.model, config.think, config.json_format, config.options, config.attempts) == ("x", False, False, {"seed": 1}, 3)
+    assert files.service_config("ollama", {"OLLAMA_MODEL": "x"}).options["num_predict"] == 3000
+    assert "secret" not in repr(files.service_config("claude", {"ANTHROPIC_API_KEY": "secret"}, model="y"))
+    for provider, given in (("claude", {"CLAUDE_MODEL": "y"}), ("zai", {"NEBIUS_API_KEY": "k", "ZAI_MODEL": "z"}), ("ollama", {})):
+        with pytest.raises(ValueError):
+            files.service_config(provider, given)
