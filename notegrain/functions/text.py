@@ -101,23 +101,26 @@ def running_totals(items: Column) -> Column:
 def find_all(text: Column, pattern: str, groups: tuple[tuple[str, int], ...] = ()) -> Column:
     """All matches as array<struct<start, end, text, one string for each group>>, in order; groups that took no part are empty.
 
-    Matches and the gaps between them spell the text, so a match starts where the gaps and matches before it end. A
-    match must not be empty.
+    The pattern is run once: a replacement puts marks around matches and between their groups, and the marked text is cut
+    at the marks. Matches and the gaps between them spell the text, so a match starts where the gaps and matches before it
+    end. A match must be neither empty nor of U+0001 to U+0003 (the marks themselves are looked at as U+0003).
     """
-    parts = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-        F.split(text, pattern, -1).alias("gaps"),
-        *[F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(name) for name, k in groups],
-    )
+    shown = "\x01$0" + "".join(f"\x02${k}" for _, k in groups) + "\x01"
+    marked = F.regexp_replace(F.translate(text, "\x01\x02", "\x03\x03"), pattern, shown)
 
-    def at(p: Column) -> Column:
+    def at(parts: Column) -> Column:
+        odd = lambda k: lambda _, i: i % 2 == k
+        cells = F.transform(F.filter(parts, odd(1)), lambda x: F.split(x, "\x02", -1))
+        return let(F.struct(cells.alias("m"), F.filter(parts, odd(0)).alias("gaps")), found)
+
+    def found(p: Column) -> Column:
         # from match to match: what was matched before, and the gap
-        steps = F.transform(p["m"], lambda _, i: F.length(F.get(p["gaps"], i)) + F.coalesce(F.length(F.get(p["m"], i - 1)), F.lit(0)))
+        steps = F.transform(p["m"], lambda _, i: F.length(F.get(p["gaps"], i)) + F.coalesce(F.length(F.get(F.get(p["m"], i - 1), F.lit(0))), F.lit(0)))
 
         def one(start: Column, i: Column) -> Column:
-            found = F.get(p["m"], i)
-            return F.struct(start.alias("start"), (start + F.length(found)).alias("end"), found.alias("text"), *[F.get(p[name], i).alias(name) for name, _ in groups])
+            cell = lambda k: F.get(F.get(p["m"], i), F.lit(k))
+            return F.struct(start.alias("start"), (start + F.length(cell(0))).alias("end"), cell(0).alias("text"), *[cell(k).alias(name) for k, (name, _) in enumerate(groups, 1)])
 
         return F.transform(running_totals(steps), one)
 
-    return let(parts, at)
+    return let(F.split(marked, "\x01", -1), at)

@@ -22,9 +22,9 @@ BETWEEN = r"(?:\+|/)"
 AFTER_KEYWORD = r"(?:\s*[:=]?\s*)"
 IN_BRACKETS = rf"(?:\s*[\(\[\{{]\s*({PART})\s*{BETWEEN}\s*({PART})\s*[\)\]\}}])"
 #: name, pattern, and the numbers of the groups total, primary, secondary (0: none). The first to take a span keeps it.
+#: A fourth form, sum_in_parens, finds nothing: TOTAL may be empty, so total_then_sum takes all that it could.
 GLEASON = (
     ("total_then_sum", rf"{KEYWORD}{AFTER_KEYWORD}({TOTAL}){IN_BRACKETS}", (1, 2, 3)),
-    ("sum_in_parens", rf"{KEYWORD}{AFTER_KEYWORD}({TOTAL})?{IN_BRACKETS}", (1, 2, 3)),
     ("sum_total", rf"{KEYWORD}{AFTER_KEYWORD}({PART})\s*{BETWEEN}\s*({PART})(?:\s*(?:=|→|->)\s*({TOTAL}))?", (3, 1, 2)),
     ("score_only", rf"{KEYWORD}{AFTER_KEYWORD}({TOTAL})\b", (1, 0, 0)),
 )
@@ -68,7 +68,8 @@ def _gleason_array(text: Column) -> Column:
     first, *others = [_pattern_array(text, *p) for p in GLEASON]
     for matches in others:
         first = let(F.struct(first.alias("a"), matches.alias("m")), _without_overlaps)
-    return F.array_sort(first)
+    # every keyword has this word in it
+    return F.when(text.rlike(_FLAGS + "gleason"), F.array_sort(first)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,pattern_type:string,tot:string,p1:string,p2:string>>"))
 
 
 def gleason_mentions(notes: DataFrame) -> DataFrame:
