@@ -54,17 +54,12 @@ def sentences(text: str | None) -> list[tuple[int, str]]:
     return [(m.start(), m[0]) for m in _SENTENCE.finditer(text or "")] or [(0, "")]
 
 
-def beginnings(word: str) -> list[str]:
-    """Beginnings of a longer word, written with a star: inflected words share them."""
-    return [f"{word[:k]}*" for k in STEMS if len(word) > k]
-
-
 def plain_words(sentence: str) -> set[str]:
     return set(_WORD.findall(sentence.lower()))
 
 
 def words(sentence: str) -> set[str]:
-    """Distinct words, and their beginnings."""
+    """Distinct words, and the beginnings of longer ones, written with a star: inflected words share them."""
     found = plain_words(sentence)
     return found.union(*[{f"{w[:k]}*" for w in found if len(w) > k} for k in STEMS])
 
@@ -164,17 +159,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[float
     hits = pc.list_value_length(bags["sentence"]).to_numpy()
     row = pc.list_flatten(sentences_in).to_numpy() + np.repeat(np.cumsum(sizes) - sizes, hits)
     word = code[pc.list_flatten(bags["word"]).to_numpy() + np.repeat(words_before, hits)]
+    known = bags["label"].to_numpy()
+    del bags, sentences_in, found, code
     # beginnings are features too; a sentence has each once
     place = {w: k for k, w in enumerate(vocabulary)}
-    own = [[place.setdefault(b, len(place)) for b in beginnings(w)] for w in vocabulary]
-    vocabulary = list(place)
+    own = [np.fromiter((place.setdefault(w[:n] + "*", len(place)) if len(w) > n else -1 for w in vocabulary), np.int32, len(vocabulary)) for n in STEMS]
     parts = [row * len(place) + word]
-    for k in range(len(STEMS)):
-        beginning = np.array([o[k] if k < len(o) else -1 for o in own])[word]
-        parts.append((row * len(place) + beginning)[beginning >= 0])
-    row, word = np.divmod(np.unique(np.concatenate(parts)), len(place))
-    bias, weight = fit_noisy_or(bags["label"].to_numpy(), np.repeat(np.arange(len(sizes)), sizes), row, word, len(vocabulary))
-    return bias, {vocabulary[k]: float(weight[k]) for k in np.flatnonzero(weight)}
+    for beginning in (o[word] for o in own):
+        parts.append(row[beginning >= 0] * len(place) + beginning[beginning >= 0])
+    pairs = np.unique(np.concatenate(parts))
+    del parts, own, vocabulary
+    row, word = (pairs // len(place)).astype(np.int32), (pairs % len(place)).astype(np.int32)
+    del pairs
+    bias, weight = fit_noisy_or(known, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), row, word, len(place))
+    chosen = set(np.flatnonzero(weight).tolist())
+    return bias, {w: float(weight[k]) for w, k in place.items() if k in chosen}
 
 
 def sentence_scores(text: str | None, bias: float, weights: dict[str, float]) -> tuple[float, list[tuple[int, int, float]]]:
