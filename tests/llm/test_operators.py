@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import types as T
 
 from notegrain.llm import avi_mjpeg, license_scan, piece_bpe, pii, prefix_hash, shard_ring, simhash, source_mix, toxicity, url_filter
@@ -49,9 +50,14 @@ def test_prefix_hash_spans_and_extensions():
         assert prefix_hash.spans_equal(x, i, y, j, length) == (i + length <= len(a) and j + length <= len(b) and a[i : i + length] == b[j : j + length])
 
 
+def signed_hash(text):
+    value = xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def test_prefix_hash_query(docs, empty):
     rows = [r.asDict() for r in prefix_hash.fingerprint_edits(docs, range_bytes=1 << 12).collect()]
-    order = sorted(((r[0], r[1] or "") for r in corpus()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    order = sorted(((r[0], r[1] or "") for r in corpus()), key=lambda r: (r[0] is not None, r[0] or 0, signed_hash(r[1]), r[1]))
     expected = Counter()
     for (doc_id, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
         k = len(text) // 4
@@ -267,8 +273,6 @@ def test_piece_query(docs, empty, vocabulary):
 def brute_simhash(text):
     import re
 
-    import xxhash
-
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
         return 0
