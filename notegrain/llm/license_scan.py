@@ -158,4 +158,5 @@ def _scan_block(docs: DataFrame, templates: Sequence[tuple[str, str]], similarit
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan of the whole documents table for TEMPLATES; see the module for nulls, repeated rows and empty tables."""
     return scan(table(spark, sf_dir, "documents"))

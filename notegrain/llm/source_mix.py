@@ -109,7 +109,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def repeat_rows(docs: DataFrame) -> DataFrame:
-    """The documents' rows, each as often as the mix takes it. Texts aren't moved: the sources' limits come to them."""
+    """The documents' rows, each as often as the mix takes it. Texts aren't moved: the sources' limits come to them.
+
+    Null source is a source, rows that tie in place are taken alike, an empty table stays empty with its columns.
+    """
     names = [f"column {k}" for k in range(len(docs.columns))]
     plain = docs.toDF(*names)
     column = dict(zip(docs.columns, names, strict=True))
@@ -119,6 +122,7 @@ def repeat_rows(docs: DataFrame) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix of the whole documents table; see the module for nulls, ties and empty tables."""
     return mix(table(spark, sf_dir, "documents"))
 
 
