@@ -96,7 +96,10 @@ def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]]) ->
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, license, template, containment, first_word, passages: a row for each document and template found in it."""
+    """doc_id, license, template, containment, first_word: a row for each document and template found in it.
+
+    containment is that of the best window, first_word the place of the first shingle that any such window shares.
+    """
     blocks = [templates[k : k + TEMPLATES_AT_ONCE] for k in range(0, len(templates), TEMPLATES_AT_ONCE)] or [()]
     return reduce(DataFrame.unionByName, [_scan_block(docs, b, similarity) for b in blocks])
 
@@ -153,8 +156,8 @@ def _scan_block(docs: DataFrame, templates: Sequence[tuple[str, str]], similarit
     at = F.col("first") + _let(F.struct("matched", "own"), lambda x: F.array_min(F.transform(x["matched"], lambda m: F.array_position(x["own"], m)))).cast("int") - 1
     placed = verified.select("row", "doc_id", "template_id", "license", "containment", at.alias("at"))
     return placed.groupBy("row", "doc_id", "template_id", "license").agg(
-        F.max("containment").alias("containment"), F.min("at").alias("first_word"), F.count_distinct("at").alias("passages")
-    ).select("doc_id", "license", F.element_at(F.array(*[F.lit(t) for _, t in templates] or [F.lit("")]), F.col("template_id") + 1).alias("template"), "containment", "first_word", "passages")
+        F.max("containment").alias("containment"), F.min("at").alias("first_word")
+    ).select("doc_id", "license", F.element_at(F.array(*[F.lit(t) for _, t in templates] or [F.lit("")]), F.col("template_id") + 1).alias("template"), "containment", "first_word")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
