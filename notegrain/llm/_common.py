@@ -46,8 +46,8 @@ def bound_batches(spark: SparkSession) -> None:
     Two batches in each of a worker's tasks are then little beside an executor's memory. Row limits are left alone.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.match(r"\d+", spark.conf.get(name))
-    if not now or not 0 < int(now[0]) <= BATCH_BYTES:
+    now = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(name).lower())
+    if not now or not 0 < int(now[1]) << 10 * " kmgt".index(now[2] or " ") <= BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
