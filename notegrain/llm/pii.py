@@ -1,7 +1,7 @@
 """Surrogates for personal data: keyed, type-consistent, matching format, script and gender.
 
-Entities are e-mail addresses, phone numbers, IPv4 and IPv6 addresses, IBANs, national ids (US, Spain), card numbers,
-secrets (keys, tokens) and names. An entity's canonical form (case, accents, separators and country code style aside) is
+Entities are e-mail addresses, phone numbers, IPv4 and IPv6 addresses, IBANs, national ids (US, Spain), card numbers (the
+last three with right check digits or parts, so other long numbers stay), secrets (keys, tokens) and names. An entity's canonical form (case, accents, separators and country code style aside) is
 a number in the range of its class: digits of a given count, the addresses of one network, the names of one script. The
 surrogate is the image of that number under a keyed permutation of that very range, so within a class equal entities get
 equal surrogates (coreference, in this and in any other document, without a table of entities) and different ones
@@ -95,7 +95,7 @@ PATTERNS = (
     ("ipv6", re.compile(rf"(?<![\w:.])(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}}|(?:{_HEX4}:){{2,7}}:|::(?:{_HEX4}:){{1,6}}{_HEX4})(?![\w:])")),
     ("ip", re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)")),
     ("national", re.compile(r"(?<![\w.+-])(?:\d{3}-\d{2}-\d{4}|[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-Z])(?![\w-])")),
-    ("card", re.compile(r"(?<![\d.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\d]|[.-]\d)")),
+    ("card", re.compile(r"(?<![\d.+-])(?=4|5[0-8]|2[2-7]|3[0-9]|6[0-9])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\d]|[.-]\d)")),
     ("phone", re.compile(r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.+-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d.-])")),
 )
 _TITLED = re.compile(rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<value>{_HAN}{{2,3}}|{_WORD}(?: {_WORD}){{0,2}})|(?P<before>[{''.join(FAMILY['han'])}]{_HAN}{{1,2}})(?=先生|女士|小姐)")
@@ -171,6 +171,12 @@ def _is_ipv6(mention: str) -> bool:
     return len(mention) > 5 and any(c.isdigit() for c in mention)
 
 
+def _is_card(mention: str) -> bool:
+    """Whether the check digit is right; other long numbers are no cards."""
+    digits = re.sub(r"\D", "", mention)
+    return int(digits[-1]) == _luhn_digit(digits[:-1])
+
+
 def _iban_length(mention: str) -> int:
     """Length of the IBAN that a mention begins with, as words in capitals may follow; 0: none."""
     for end in [len(mention), *reversed([m.start() for m in re.finditer(" ", mention)])]:
@@ -180,7 +186,7 @@ def _iban_length(mention: str) -> int:
 
 
 #: How much of a match is an entity; of other kinds all is.
-_LENGTH: dict[str, Callable[[str], int]] = {"iban": _iban_length, "national": lambda m: len(m) * _is_national(m), "ipv6": lambda m: len(m) * _is_ipv6(m)}
+_LENGTH: dict[str, Callable[[str], int]] = {"iban": _iban_length, "card": lambda m: len(m) * _is_card(m), "national": lambda m: len(m) * _is_national(m), "ipv6": lambda m: len(m) * _is_ipv6(m)}
 
 
 def _find_names(text: str) -> list[tuple[int, int, bool]]:
@@ -380,12 +386,11 @@ def _ipv6(mention: str, key: bytes) -> str:
 
 
 def _card(mention: str, key: bytes) -> str:
-    """The first digit stays, and whether the check digit is right (a wrong one stays as far off)."""
+    """The first two digits, which tell the kind of issuer, stay, and the check digit is right."""
     digits = re.sub(r"\D", "", mention)
-    size = len(digits) - 2
-    off = (int(digits[-1]) - _luhn_digit(digits[:-1])) % 10
-    body = digits[0] + f"{_permuted(int(digits[1:-1]), 10**size, key, f'card{size}/{digits[0]}/{off}'):0{size}d}"
-    return _put_back(mention, body + str((_luhn_digit(body) + off) % 10))
+    size = len(digits) - 3
+    body = digits[:2] + f"{_permuted(int(digits[2:-1]), 10**size, key, f'card{size}/{digits[:2]}'):0{size}d}"
+    return _put_back(mention, f"{body}{_luhn_digit(body)}")
 
 
 def _iban(mention: str, key: bytes) -> str:

@@ -60,7 +60,9 @@ def samples(rnd):
     yield "ipv6", {f"{p}:{rnd.randrange(1 << 16):x}::{rnd.randrange(1 << 16):x}": [] for p in ("2001:db8", "fe80", "fd00") for _ in range(100)}
     yield "phone", {f"+1 {a} {b} {c}": [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1{a}{b}{c}", f"+1 ({a}) {b}-{c}"] for a, b, c in ((d(3), d(3), d(4)) for _ in range(300))}
     yield "phone", {f"+34 {a} {b} {c}": [f"+34{a}{b}{c}", f"+34-{a}-{b}-{c}"] for a, b, c in ((d(3), d(3), d(3)) for _ in range(300))}
-    yield "card", {" ".join(d(4) for _ in range(4)): [] for _ in range(400)}
+    valid = lambda body: body + str(pii._luhn_digit(body))
+    yield "card", {" ".join(re.findall("....", c)): [c, "-".join(re.findall("....", c))] for c in (valid((rnd.choice(("4", "51", "60", "22")) + d(14))[:15]) for _ in range(400))}
+    yield "card", {valid("37" + d(12)): [] for _ in range(100)}
     yield "national", {f"{rnd.randrange(1, 600):03d}-{rnd.randrange(1, 99):02d}-{rnd.randrange(1, 9999):04d}": [] for _ in range(300)}
     yield "national", {(n := d(8)) + pii._DNI_LETTERS[int(n) % 23]: [] for _ in range(300)}
     yield "iban", {f"ES{98 - pii._mod_97('ES00' + b):02d}{b}": [" ".join(re.findall(".{1,4}", f"ES{98 - pii._mod_97('ES00' + b):02d}{b}"))] for b in (d(20) for _ in range(200))}
@@ -116,6 +118,13 @@ def test_classes_stay():
     assert pii._is_national(only("national", "12345678Z")) and re.fullmatch(r"\d{3}-\d{2}-\d{4}", only("national", "123-45-6789"))
 
 
+def test_long_numbers_that_are_no_cards_stay():
+    for text in ("4539 1488 0343 6468", "no. 9807915762804490 here", "1234567890123", "4845168114407328"):
+        assert pii.replace(text, KEY) == (text, [])
+    new = only("card", "4845168114407329")
+    assert new.startswith("48") and pii._is_card(new) and len(new) == 16
+
+
 def test_names():
     assert not set(pii._GIVEN_PLACE) & set(pii._FAMILY_PLACE)
     listed = set(pii._GIVEN_PLACE) | set(pii._FAMILY_PLACE)
