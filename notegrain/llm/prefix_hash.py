@@ -161,21 +161,23 @@ def _areas(bounds: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _neighbours(docs: DataFrame, range_bytes: int) -> DataFrame:
     """area, doc_id, hash, text, copies, lead: ranges of doc_id in order; lead rows end a range, being the next range's first."""
-    text = F.coalesce("text", F.lit(""))
+    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
     rows = id_and_text(docs).select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text"))
-    light = rows.select("doc_id", "hash", F.octet_length("text").alias("bytes"))
+    # texts are read once for this and once more to be dealt
+    light = checkpoint(rows.select("doc_id", "hash", F.octet_length("text").alias("bytes")))
     total = light.agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).first()
     n_rows, n_bytes = (total.rows, total.bytes or 0) if total else (0, 0)
-    often = light.groupBy("doc_id", "hash").count().where(F.col("count") > max(n_rows // HOT_PARTS, HOT_ROWS))
     # fewer than HOT_PARTS keys
-    hot = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.hash) for r in often.collect()], "hot_id long, hot_hash long"))
-    same = F.col("doc_id").eqNullSafe(F.col("hot_id")) & (F.col("hash") == F.col("hot_hash"))
-    once = rows.join(hot, same, "left_anti").withColumn("copies", F.lit(1).cast("long"))
-    repeated = rows.join(hot, same, "left_semi").groupBy("doc_id", "hash", "text").agg(F.count("*").alias("copies"))
-    every = once.unionByName(repeated)
+    often = light.groupBy("doc_id", "hash").count().where(F.col("count") > max(n_rows // HOT_PARTS, HOT_ROWS)).collect()
+    every = rows.withColumn("copies", F.lit(1).cast("long"))
+    if often:
+        hot = F.broadcast(spark.createDataFrame([(r.doc_id, r.hash) for r in often], "hot_id long, hot_hash long"))
+        same = F.col("doc_id").eqNullSafe(F.col("hot_id")) & (F.col("hash") == F.col("hot_hash"))
+        repeated = rows.join(hot, same, "left_semi").groupBy("doc_id", "hash", "text").agg(F.count("*").alias("copies"))
+        every = every.join(hot, same, "left_anti").unionByName(repeated)
     ranges = max(1, min(int(n_bytes // range_bytes) + 1, n_rows // 8 + 1, MOST_RANGES))
     probabilities = [k / ranges for k in range(1, ranges)]
-    known = every.where("doc_id is not null")
+    known = light.where("doc_id is not null")
     edges, first, times = _areas(known.approxQuantile("doc_id", probabilities, 0.2 / ranges) if probabilities else [])
 
     @F.pandas_udf("int")
@@ -191,15 +193,17 @@ def _neighbours(docs: DataFrame, range_bytes: int) -> DataFrame:
         inner = np.where(ids.fillna(0) == edges[at], share * times[at], times[at] - 1).astype("int64")
         return pd.Series(np.where(place < 0, 0, first[at] + inner).astype("int32"))
 
-    dealt = every.withColumn("area", area_of("doc_id", "hash"))
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "hash", "text")
-    # a row for each range, at most MOST_RANGES
-    firsts = checkpoint(dealt.groupBy("area").agg(F.min(order).alias("first")))
-    present = sorted(r.area for r in firsts.select("area").collect())
-    before = {a: present[k - 1] for k, a in enumerate(present)}
-    moved = docs.sparkSession.createDataFrame([(a, b) for a, b in before.items()] or [(0, 0)], "area int, target int")
-    leads = firsts.join(F.broadcast(moved), "area").select(F.col("target").alias("area"), "first.doc_id", "first.hash", "first.text", F.lit(0).cast("long").alias("copies"), F.lit(True).alias("lead"))
-    return dealt.select("area", "doc_id", "hash", "text", "copies", F.lit(False).alias("lead")).unionByName(leads)
+    area = area_of("doc_id", "hash")
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "hash")
+    # a row of numbers for each range, at most MOST_RANGES
+    firsts = sorted(light.select("*", area.alias("area")).groupBy("area").agg(F.min(order).alias("first")).collect())
+    marks = [(r.first.doc_id, r.first.hash, firsts[k - 1].area) for k, r in enumerate(firsts)]
+    marked = F.broadcast(spark.createDataFrame(marks, "mark_id long, mark_hash long, target int"))
+    found = every.withColumn("area", area).join(marked, F.col("doc_id").eqNullSafe(F.col("mark_id")) & (F.col("hash") == F.col("mark_hash")), "left")
+    own = F.struct("area", "copies", F.lit(False).alias("lead"))
+    lead = F.struct(F.col("target").alias("area"), F.lit(0).cast("long").alias("copies"), F.lit(True).alias("lead"))
+    each = F.explode(F.when(F.col("target").isNull(), F.array(own)).otherwise(F.array(own, lead))).alias("e")
+    return found.select("doc_id", "hash", "text", each).select("e.area", "doc_id", "hash", "text", "e.copies", "e.lead")
 
 
 def fingerprint_edits(docs: DataFrame, range_bytes: int = 2 << 20) -> DataFrame:
