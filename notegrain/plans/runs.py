@@ -15,6 +15,10 @@ from notegrain.operators import dedup, extraction, generation, inline_tags, judg
 from notegrain.sources import files
 
 
+#: Names of notes that a summary shows.
+SAMPLE_FILES = 10
+
+
 def observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
     """Rows as they are, counted as they pass; read the counts after an action."""
     seen = Observation()
@@ -79,13 +83,15 @@ def judged(notes: DataFrame, completed: DataFrame, config: files.ServiceConfig,
     return out
 
 
-def judge(spark: SparkSession, source: str, target: str, config: files.ServiceConfig, factory: Callable[[files.ServiceConfig], services.Client], system: str, template: str, debug: bool = False) -> dict[str, int]:
+def judge(spark: SparkSession, source: str, target: str, config: files.ServiceConfig, factory: Callable[[files.ServiceConfig], services.Client], system: str, template: str, debug: bool = False) -> dict[str, object]:
     """Scores of notes below source into target: results.jsonl, results.csv, parse_errors.jsonl, and debug.jsonl if asked for.
 
-    Notes whose name either log has valid scores of aren't judged again.
+    Notes whose name either log has valid scores of aren't judged again. A log that is one file becomes a folder's first part.
     """
     out = target.rstrip("/")
     keep = files.staged(target)
+    for name in ("results.jsonl", "results.csv", "parse_errors.jsonl", "debug.jsonl"):
+        files.as_folder(spark, f"{out}/{name}")
     completed = keep(files.completed_names(spark, f"{out}/results.jsonl", f"{out}/results.csv"))
     found = files.discover_notes(spark, source, target)
     texts = files.read_files(spark, source, lossy=True).select("file_path", files.strip(F.col("text")).alias("text"))
@@ -99,12 +105,12 @@ def judge(spark: SparkSession, source: str, target: str, config: files.ServiceCo
         known = judging.error_records(good, config.model, config.provider).drop("parse_error").columns
         shown = good.select("*", F.col("file_name").alias("filename"), F.col("file_path").alias("filepath"), F.lit(config.model).alias("model"), F.lit(config.provider).alias("provider"))
         files.append_json(shown.select(*known, "raw_text", F.col("raw").alias("raw_response")), f"{out}/debug.jsonl")
-    n = notes.count()
+    n, sample = notes.count(), [r.relative_path for r in notes.orderBy("strategy", "relative_path").limit(SAMPLE_FILES).collect()]
     counts = {r.status: r["count"] for r in done.groupBy("status").count().collect()}
     ok = counts.pop("ok", 0)
     errors = sum(counts.values())
     files.drop_staged(spark, target)
-    return {"found": n, "processed": ok, "errors": errors, "skipped": n - ok - errors}
+    return {"found": n, "processed": ok, "errors": errors, "skipped": n - ok - errors, "sample": sample}
 
 
 def tag(spark: SparkSession, source: str, target: str) -> dict[str, int]:

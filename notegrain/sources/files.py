@@ -143,7 +143,7 @@ def read_completed(spark: SparkSession, jsonl: str) -> DataFrame:
 def read_completed_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a results file whose nine scores are all valid; filename may be named generated_filename.
 
-    A file that isn't there, or has no such columns, has no rows.
+    A file that isn't there, or has no such columns, has no rows. The parts of a folder have one header.
     """
     from notegrain.operators.judging import SCORES, csv_score_valid
 
@@ -247,6 +247,18 @@ def drop_staged(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def as_folder(spark: SparkSession, path: str) -> None:
+    """A table that is one file becomes a folder of that name with the file as its first part, so that rows can be appended."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    whole = hadoop.Path(path)
+    store = whole.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(whole) and store.getFileStatus(whole).isFile():
+        aside = hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+        store.rename(whole, aside)
+        store.mkdirs(whole)
+        store.rename(aside, hadoop.Path(f"{path}/part-earlier"))
+
+
 def clear_files(folder: str, ending: str = ".ann") -> int:
     """Files of an ending right in a folder are deleted; their number. A folder that isn't there has none."""
     from pyarrow import fs

@@ -106,16 +106,15 @@ def test_judge(spark, tmp_path):
     target.mkdir()
     done = {"filename": "old.txt", "result": SCORES}
     bad = {"filename": "n1.txt", "result": SCORES | {"util": {"score": 9}}}
-    (target / "results.jsonl").mkdir()
-    (target / "results.jsonl" / "part-0.json").write_text("\n".join(["", "{", "[1]", json.dumps(done), json.dumps(bad)]), encoding="utf-8")
-    (target / "results.csv").mkdir()
-    with open(target / "results.csv" / "part-0.csv", "w", newline="", encoding="utf-8") as f:
-        out = csv.DictWriter(f, ["filename", "strategy", "relative_path", *[f"{k}_score" for k in judging.SCORES]])
+    (target / "results.jsonl").write_text("\n".join(["", "{", "[1]", json.dumps(done), json.dumps(bad)]), encoding="utf-8")
+    with open(target / "results.csv", "w", newline="", encoding="utf-8") as f:
+        scores = [c for k in judging.SCORES for c in (f"{k}_score", f"{k}_justification")]
+        out = csv.DictWriter(f, ["filename", "strategy", "relative_path", "filepath", "model", "provider", *scores, *judging.FLAGS])
         out.writeheader()
         out.writerow({"filename": "csv.txt"} | {f"{k}_score": "4.7" for k in judging.SCORES})
         out.writerow({"filename": "n1.txt"} | {f"{k}_score": "nan" for k in judging.SCORES})
     config = files.ServiceConfig("ollama", "m", attempts=3, pause_s=0.0)
-    assert runs.judge(spark, str(source), str(target), config, Critic, "sys", "{generated_note}", debug=True) == {"found": 7, "processed": 2, "errors": 2, "skipped": 3}
+    assert runs.judge(spark, str(source), str(target), config, Critic, "sys", "{generated_note}", debug=True) == {"found": 7, "processed": 2, "errors": 2, "skipped": 3, "sample": ["E2E/n1.txt", "E2E/n2.txt", "E2E/old.txt", "T2E/csv.txt", "T2E/n1.txt", "T2E/n2.txt", "n3.txt"]}
     lines = [json.loads(x) for p in (target / "results.jsonl").glob("part*") for x in p.read_text(encoding="utf-8").splitlines() if '"provider"' in x]
     assert {(r["filename"], r["strategy"]) for r in lines} == {("n1.txt", "E2E"), ("n2.txt", "T2E")}
     assert lines[0]["result"]["precisa"] == {"score": 4, "justification": "j"} and lines[0]["result"]["human_generated"] is True and lines[0]["provider"] == "ollama"
@@ -123,7 +122,9 @@ def test_judge(spark, tmp_path):
     assert {(r["filename"], r["strategy"], r["parse_error"]) for r in failed} == {("n2.txt", "E2E", "The answer is not accepted."), ("n3.txt", "notes", "TimeoutError: down")}
     assert {r.file_name for r in files.completed_names(spark, str(target / "results.jsonl"), str(target / "results.csv")).collect()} == {"old.txt", "csv.txt", "n1.txt", "n2.txt"}
     again = runs.judge(spark, str(source), str(target), config, Critic, "sys", "{generated_note}")
-    assert again == {"found": 7, "processed": 0, "errors": 1, "skipped": 6}
+    assert {k: again[k] for k in ("found", "processed", "errors", "skipped")} == {"found": 7, "processed": 0, "errors": 1, "skipped": 6}
+    debug = [json.loads(x) for p in (target / "debug.jsonl").glob("part*") for x in p.read_text(encoding="utf-8").splitlines()]
+    assert {r["filename"] for r in debug} == {"n1.txt", "n2.txt"} and all(r["raw_text"].startswith("Fine") and "message" in r["raw_response"] for r in debug)
     assert files.completed_names(spark, str(tmp_path / "none.jsonl"), str(tmp_path / "none.csv")).count() == 0
 
 
