@@ -46,6 +46,12 @@ def psa_mentions(notes: DataFrame) -> DataFrame:
     )
 
 
+def per_note(notes: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, mentions: how many each note has, none included."""
+    counted = found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return notes.select("doc_id").join(counted, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("mentions"))
+
+
 def _pattern_array(text: Column, name: str, pattern: str, groups: tuple[int, int, int]) -> Column:
     """One pattern's matches; groups that it lacks are empty."""
     total, first, second = groups

@@ -7,6 +7,7 @@ Failures become columns of the row, not failures of the job. Real services aren'
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any, Protocol
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from notegrain.sources.files import ServiceConfig
 
 
+#: Tokens that a task gathers before it hands them on.
+_TOKENS_AT_ONCE = 20_000
+
+
 class Client(Protocol):
     """Sends a request body, gives back the service's answer as a dict."""
 
@@ -74,6 +79,20 @@ class PretrainedClassifier:
         return [[(a, b, names[k], p) for (a, b), k, p in zip(w["offset_mapping"], row_k, row_p, strict=False)] for w, row_k, row_p in zip(windows, best.indices.tolist(), best.values.tolist(), strict=True)]
 
 
+class DictionaryClassifier:
+    """A TokenClassifier without a model: words of letters get the label that a dictionary has for them, with score 1."""
+
+    def __init__(self, labels: Mapping[str, str], window: int = 256, stride: int = 64):
+        self.labels, self.window, self.step = dict(labels), window, max(1, window - stride)
+
+    def windows(self, text: str) -> list[list[tuple[int, int, str]]]:
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W\d_]+", text)]
+        return [words[k : k + self.window] for k in range(0, max(1, len(words)), self.step) if k == 0 or k + self.window - self.step < len(words)]
+
+    def classify(self, windows: Sequence[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str, float]]]:
+        return [[(0, 0, "O", 1.0), *((a, b, self.labels.get(w, "O"), 1.0) for a, b, w in words)] for words in windows]
+
+
 def request_body(config: ServiceConfig, system: str, prompt: str) -> dict[str, Any]:
     """A provider's request."""
     messages = [{"role": "system", "content": system}, {"role": "user", "content": prompt}]
@@ -218,9 +237,14 @@ def classify_chunks(chunks: DataFrame, models: Mapping[str, Callable[[], TokenCl
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classifiers = {name: factory() for name, factory in models.items()}
+        out: list[tuple] = []
         for rows in batches:
             for row in zip(rows["doc_id"], rows["chunk"], rows["start"], rows["text"], strict=True):
                 for name, classifier in classifiers.items():
-                    yield pd.DataFrame(tokens(*row, name, classifier), columns=names)
+                    out += tokens(*row, name, classifier)
+                if len(out) > _TOKENS_AT_ONCE:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        yield pd.DataFrame(out, columns=names)
 
     return chunks.select("doc_id", "chunk", "start", "text").mapInPandas(run, "doc_id long, model string, window_id int, idx int, st int, en int, label string, score double, error string")

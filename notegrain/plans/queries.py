@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrain.functions.numeric import best_class, softmax
-from notegrain.functions.text import normalize_text, snippet
-from notegrain.operators import dedup, generation, inline_tags, judging, matching, mentions, standoff, tokens
+from notegrain.functions.text import normalize_text, snippet, strip
+from notegrain.operators import dedup, extraction, generation, inline_tags, judging, matching, mentions, services, standoff, tokens
 from notegrain.plans.fixtures import fixture, with_fixtures
 from notegrain.sources import files
 
@@ -113,6 +114,12 @@ def gleason_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("pattern_type").agg(F.count("*").alias("mentions"), F.count("total").alias("with_total"))
 
 
+@_query(_GLEASON_ORACLE + "select t.doc_id, count(g.doc_id) as mentions from t left join g on t.doc_id = g.doc_id group by t.doc_id", ("notes",))
+def mentions_per_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = fixture(spark, sf_dir, "notes")
+    return mentions.per_note(notes, mentions.gleason_mentions(notes))
+
+
 _UNESCAPE = "replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 _TAGS = rf"""
 , w as (select doc_id, tagged, regexp_extract_all(tagged, '<(/?)([A-Za-z0-9_:-]+)>', 0) as ms, regexp_extract_all(tagged, '<(/?)([A-Za-z0-9_:-]+)>', 2) as ls,
@@ -356,6 +363,33 @@ def bio_spans_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.bio_spans(fixture(spark, sf_dir, "tokens"), fixture(spark, sf_dir, "token_texts"), False, 0.45, 1.0)
 
 
+#: Two dictionaries in the place of models; the second one's mentions count where the first has none of that span.
+_WORDS = {"PSA": "B-TEST", "score": "B-TEST", "de": "I-TEST", "gleason": "B-TEST", "Gleason": "TEST", "Paciente": "B-WHO", "con": "O", "Valor": "B-TEST", "Control": "B-WHEN"}
+_MORE_WORDS = {"PSA": "B-TEST", "edad": "B-WHEN", "previo": "B-WHEN", "actual": "B-WHEN", "Gleason": "B-SCORE"}
+
+
+def _dictionary_part(model: str, words: dict[str, str]) -> str:
+    kinds = " ".join(f"when '{w}' then '{k.split('-')[-1]}'" for w, k in words.items() if k != "O")
+    return rf"""{model} as (select doc_id, t, i, ms[i] as w, case ms[i] {kinds} end as kind, {_STARTS} as s, {_STARTS} + len(ms[i]) as e, gaps[i] as gap
+  from (select *, unnest(range(1, len(ms) + 1)) as i from (select doc_id, t, regexp_extract_all(t, '[A-Za-z]+') as ms, string_split_regex(t, '[A-Za-z]+') as gaps from t) a) b),
+{model}_l as (select *, lag(kind) over (partition by doc_id order by i) as pk from {model}),
+{model}_i as (select *, sum(case when kind = pk and regexp_full_match(gap, '[\s\-/,;:.()]+') then 0 else 1 end) over (partition by doc_id order by i) as isl from {model}_l),
+{model}_s as (select doc_id, '{model}' as model, kind as label, min(s) as s, max(e) as e, any_value(t) as t from {model}_i where kind is not null group by doc_id, kind, isl)"""
+
+
+@_query(
+    f", t as (select doc_id, {_norm('text')} as t from notes), {_dictionary_part('one', _WORDS)}, {_dictionary_part('two', _MORE_WORDS)}, "
+    "al as (select *, 1 as k from one_s union all select *, 2 from two_s), rk as (select *, row_number() over (partition by doc_id, label, s, e order by k) as n from al) "
+    + r"""select doc_id, model, label, cast(s as integer) as start, cast(e as integer) as "end", 1.0::double as score, trim(regexp_replace(substr(t, s + 1, e - s), '\s+', ' ', 'g')) as text from rk where n = 1""",
+    ("notes",),
+)
+def extract_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes through two token classifiers, end to end."""
+    notes = fixture(spark, sf_dir, "notes")
+    models = {"one": partial(services.DictionaryClassifier, _WORDS), "two": partial(services.DictionaryClassifier, _MORE_WORDS)}
+    return extraction.extract(notes, extraction.Workflow(models, average=False))[0]
+
+
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _CUT = "nullif(" + _STRIP.format("regexp_extract({0}, '---INICIO---\\s*(.*?)\\s*---FIN---', 1, 's')") + ", '')"
 _THINK = _STRIP.format("regexp_replace(content, '<think>.*?</think>', '', 'gis')")
@@ -413,6 +447,22 @@ def generation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.run_log(fixture(spark, sf_dir, "answers"), SYSTEM, TEMPLATE)
 
 
+@_query(
+    _LOG
+    + f"""select 'in/' || file_name as input_path, 'out/' || file_name as output_path, status, case when status in ('ok', 'empty_output', 'skipped_existing') then '' else 'none' end as error, 0.25::double as latency_s,
+  cast(len(c) as integer) as input_chars, cast(case when status = 'ok' then len(note) else 0 end as integer) as output_chars, 'm' as model, case when status in ('ok', 'empty_output') then sha1(c || '{SYSTEM}' || '{TEMPLATE}') else '' end as prompt_hash,
+  case when status = 'ok' then sha1(note) else '' end as response_hash from st""",
+    ("answers",),
+)
+def generation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's log in all its columns, from answers that came."""
+    rows = fixture(spark, sf_dir, "answers").withColumn("case", strip(F.col("case")))
+    status = F.when(F.col("case") == "", "empty_input").when(F.col("exists"), "skipped_existing").otherwise("ok")
+    error = F.when(status == "empty_input", "none")
+    shown = rows.select(F.concat(F.lit("in/"), "file_name").alias("input_path"), F.concat(F.lit("out/"), "file_name").alias("output_path"), "case", "content", "thinking", status.alias("status"), error.alias("error"), F.lit(0.25).alias("latency_s"), F.lit(None).cast("string").alias("raw"))
+    return generation.results(shown, "m", SYSTEM, TEMPLATE).drop("note", "raw")
+
+
 @_query(_LOG + "select status, count(*) as notes from st group by status", ("answers",))
 def generation_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.run_log(fixture(spark, sf_dir, "answers"), SYSTEM, TEMPLATE).groupBy("status").agg(F.count("*").alias("notes"))
