@@ -53,7 +53,7 @@ FILTER_BITS = 1 << 26
 #: Keys above this part of a join's rows are hot; fewer than so many can be.
 HOT_PARTS = 1000
 #: Keys of no more rows than this are never hot.
-HOT_ROWS = 1000
+HOT_ROWS = 100
 #: Shingles hashed at a time, to bound memory on very long texts.
 _STEP = 1 << 15
 
