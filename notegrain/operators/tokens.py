@@ -32,16 +32,17 @@ def bio_spans(tokens: DataFrame, texts: DataFrame, average: bool, low: float | N
     joins = F.col("same") & ((F.col("st") == F.col("last_en")) | F.col("near") & (F.col("st") < F.col("last_en")))
     may_join = F.col("same") & F.col("near") & (F.col("st") > F.col("last_en"))
     count = lambda c: F.sum(F.when(c, 0).otherwise(1)).over(order)
-    numbered = seen.select("*", count(joins).alias("part"), count(joins | may_join).alias("run")).where("kind is not null")
-    first = F.min_by(F.struct("last_en", "st"), "idx")
-    parts = numbered.groupBy(*keys, "run", "part").agg(F.first("kind").alias("kind"), first.alias("gap"), F.min("st").alias("st"), F.max("en").alias("en"), F.sum("score").alias("total"), F.count("*").alias("n"), F.min("score").alias("least"))
-    item = F.struct("part", "gap", "st", "en", "total", "n", "least")
-    runs = parts.groupBy(*keys, "run").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(item)).alias("parts"))
+    numbered = seen.select("*", F.coalesce(joins, F.lit(False)).alias("joins"), count(joins).alias("part"), count(joins | may_join).alias("run")).where("kind is not null")
+    # only a part's first token doesn't join; what lies before it is the gap. A run is of one kind
+    before, after = (F.max(F.when(~F.col("joins"), F.col(c))).alias(n) for c, n in (("last_en", "gap_st"), ("st", "gap_en")))
+    parts = numbered.groupBy(*keys, "run", "part", "kind").agg(before, after, F.min("st").alias("st"), F.max("en").alias("en"), F.sum("score").alias("total"), F.count("*").alias("n"), F.min("score").alias("least"))
+    item = F.struct("part", "gap_st", "gap_en", "st", "en", "total", "n", "least")
+    runs = parts.groupBy(*keys, "run", "kind").agg(F.array_sort(F.collect_list(item)).alias("parts"))
     joined = runs.join(texts.select("doc_id", "text"), "doc_id")
 
     def glued(spans: Column, x: Column) -> Column:
         last, size = F.element_at(spans, -1), F.size(spans)
-        between = F.substring(F.col("text"), x["gap"]["last_en"] + 1, x["gap"]["st"] - x["gap"]["last_en"])
+        between = F.substring(F.col("text"), x["gap_st"] + 1, x["gap_en"] - x["gap_st"])
         whole = F.struct(
             F.least(last["st"], x["st"]).alias("st"), F.greatest(last["en"], x["en"]).alias("en"), (last["total"] + x["total"]).alias("total"), (last["n"] + x["n"]).alias("n"), F.least(last["least"], x["least"]).alias("least")
         )
@@ -58,23 +59,24 @@ def bio_spans(tokens: DataFrame, texts: DataFrame, average: bool, low: float | N
     return named.where("text <> ''")
 
 
-def _windows(n: Column, size: int, overlap: int) -> Column:
-    """array<struct<chunk, start, end>> over n characters."""
+def _chunked(docs: DataFrame, size: int, overlap: int, *carried: str) -> DataFrame:
+    """doc_id, carried, chunk, start, end: windows over each text's characters."""
+    n = F.length(F.coalesce("text", F.lit("")))
     if size <= 0:
-        return F.array(F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("start"), n.alias("end")))
+        return docs.select("doc_id", *carried, F.lit(0).alias("chunk"), F.lit(0).alias("start"), n.alias("end"))
     step = max(1, size - max(0, overlap))
     # the last window is the first one that reaches the end
     last = F.greatest(F.ceil((n - size) / F.lit(float(step))), F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("chunk"), (k * step).alias("start"), F.least(k * step + size, n).alias("end")))
+    rows = docs.select("doc_id", *carried, n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    return rows.select("doc_id", *carried, "chunk", (F.col("chunk") * step).alias("start"), F.least(F.col("chunk") * step + size, F.col("n")).alias("end"))
 
 
 def char_chunks(docs: DataFrame, size: int = 40_000, overlap: int = 2_000) -> DataFrame:
     """doc_id, text -> chunk, start, end: windows that overlap; an empty text has one empty chunk."""
-    n = F.length(F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", F.explode(_windows(n, size, overlap)).alias("w")).select("doc_id", "w.*")
+    return _chunked(docs, size, overlap)
 
 
 def chunk_texts(docs: DataFrame, size: int = 40_000, overlap: int = 2_000) -> DataFrame:
     """doc_id, chunk, start, text: the windows with their texts."""
-    rows = docs.select("doc_id", "text", F.explode(_windows(F.length("text"), size, overlap)).alias("w"))
-    return rows.select("doc_id", "w.chunk", "w.start", F.substring(F.col("text"), F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("text"))
+    rows = _chunked(docs, size, overlap, "text")
+    return rows.select("doc_id", "chunk", "start", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
