@@ -66,7 +66,7 @@ def run(arguments: list[str] | None, spark: SparkSession) -> dict:
         return runs.evaluate(spark, a.silver_ann_dir, a.pred_ann_dir, a.output_dir, not a.no_normalize_text, a.case_sensitive_text)
     if a.command == "extract":
         flow = lambda names, cap, **more: extraction.Workflow({n: _pretrained(n, cap) for n in names}, low=a.min_score, **more)
-        flows = {"BSC": flow(a.average_model, 0, average=True, batch=16), "medspaner": flow(a.least_model, 512, average=False, batch=8)}
+        flows = {"average": flow(a.average_model, 0, average=True, batch=16), "least": flow(a.least_model, 512, average=False, batch=8)}
         return runs.extract(spark, a.untagged_dir, a.output_dir or f"{a.untagged_dir.rstrip('/')}/SilverMentions", {n: f for n, f in flows.items() if f.models})
     system, template = a.system_file.read_text(encoding="utf-8"), a.template_file.read_text(encoding="utf-8")
     if a.command == "judge":
