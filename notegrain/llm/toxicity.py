@@ -19,6 +19,8 @@ an empty table.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import re
 from collections import deque
@@ -144,6 +146,15 @@ def fit_noisy_or(labels: np.ndarray, bag: np.ndarray, row: np.ndarray, word: np.
     return float(bias), weight
 
 
+def _give_back() -> None:
+    """What the fit held goes back to the system, as the driver has later stages to run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[float, dict[str, float]]:
     """Bias and word weights, from labelled training rows."""
     bags = _bags(_sampled(docs, labels, label))
@@ -173,7 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[float
     del pairs
     bias, weight = fit_noisy_or(known, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), row, word, len(place))
     chosen = set(np.flatnonzero(weight).tolist())
-    return bias, {w: float(weight[k]) for w, k in place.items() if k in chosen}
+    weights = {w: float(weight[k]) for w, k in place.items() if k in chosen}
+    del place, row, word, weight
+    _give_back()
+    return bias, weights
 
 
 def sentence_scores(text: str | None, bias: float, weights: dict[str, float]) -> tuple[float, list[tuple[int, int, float]]]:
