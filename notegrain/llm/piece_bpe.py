@@ -9,9 +9,9 @@ the agenda is empty. ``agenda_encode`` does this with a heap. ``MergeVocabulary.
 for thousands of segments at once as numpy rounds. Characters without a piece become byte pieces.
 
 Segments recur, so their results are kept in a table per worker, bounded by entries and by characters; long ones, which
-seldom recur, are kept only while their batch lasts. In each batch the first text, and texts that bring the table segments
-it didn't hold, until VERIFIED characters have been through, are encoded and decoded whole by the sentencepiece library
-too; a difference raises. (The tests compare every text.)
+seldom recur, are kept only while their batch lasts. Every text is encoded whole by the sentencepiece library as well, and
+a difference raises; the ids are then decoded by the library's decode, which must spell what the segments' ids do. Texts
+that recur in a batch go through all this once.
 
 Defined results: a null or empty text has no ids (n_tokens 0) and decodes to the empty text; rows are independent, so
 repeated rows and ties give repeated results; an empty table gives an empty table; very long texts and segments take
@@ -36,8 +36,6 @@ MARK = "▁"
 WIDE = 40
 #: Entries, and characters in them, that a worker keeps before it starts anew.
 KEPT_SEGMENTS, KEPT_CHARACTERS = 300_000, 4_000_000
-#: Characters of a batch that go through the library at least (a text is taken whole).
-VERIFIED = 100_000
 _PAIR = 1 << 21
 _NONE = np.int32(-(1 << 30))
 _LAST = np.int32((1 << 31) - 1)
@@ -257,8 +255,8 @@ class SegmentTable:
         self.passing: list[str] = []
         self._digits = [str(i) for i in range(vocabulary.size)]
 
-    def learn(self, segments: set[str]) -> set[str]:
-        """Make sure of the segments of a batch; those that were not held."""
+    def learn(self, segments: set[str]) -> None:
+        """Make sure of the segments of a batch."""
         for s in self.passing:  # the last batch's long ones
             del self.ids[s]
             self.odd.pop(s, None)
@@ -273,20 +271,21 @@ class SegmentTable:
             self.ids[s] = ",".join([digits[i] for i in ids])
             if spell(ids) != s:
                 self.odd[s] = spell(ids)
-        return set(fresh)
 
     def decoded(self, segments: list[str]) -> str:
         """What the segments' ids decode to."""
         return "".join([self.odd.get(s, s) for s in segments] if self.odd else segments)[1:]
 
-    def verify(self, text: str, ids: str) -> None:
-        """A whole text against the sentencepiece library, both ways."""
-        library = self.vocabulary.library
+    def verified(self, text: str, segments: list[str]) -> tuple[str, str]:
+        """Ids (as text) of a whole text and what the library decodes them to; raises where the library differs, either way."""
+        library, ids = self.vocabulary.library, ",".join(map(self.ids.__getitem__, segments))
         theirs = library.encode(text, num_threads=1)
-        if ",".join(map(str, theirs)) != ids:
+        if ",".join(map(self._digits.__getitem__, theirs)) != ids:
             raise AssertionError(f"the library encodes {text[:80]!r}... otherwise")
-        if library.decode(theirs) != self.decoded(self.vocabulary.segments(text)):
+        back = library.decode(theirs, num_threads=1)  # theirs are the ids, as has just been seen
+        if back != self.decoded(segments):
             raise AssertionError(f"the library decodes {text[:80]!r}... otherwise")
+        return ids, back
 
 
 _TABLES: dict[str, SegmentTable] = {}
@@ -300,17 +299,14 @@ def _segment_table(model: bytes) -> SegmentTable:
 
 
 def encode_batch(known: SegmentTable, texts: list[str | None]) -> Iterator[tuple[str, str]]:
-    """(ids joined by commas, decoded text) for each text. Texts with segments that are new, and one more, are verified whole."""
-    cut = [known.vocabulary.segments(t or "") for t in texts]
-    fresh = known.learn({s for segments in cut for s in segments})
-    budget, checked = VERIFIED, False
-    for text, segments in zip(texts, cut, strict=True):
-        ids = ",".join(map(known.ids.__getitem__, segments))
-        if text and (not checked or budget > 0 and not fresh.isdisjoint(segments)):
-            known.verify(text, ids)
-            fresh.difference_update(segments)
-            budget, checked = budget - len(text), True
-        yield ids, known.decoded(segments)
+    """(ids joined by commas, decoded text) for each text; every text is verified whole."""
+    cut = {t: known.vocabulary.segments(t) for t in {t or "": None for t in texts}}
+    known.learn({s for segments in cut.values() for s in segments})
+    done: dict[str, tuple[str, str]] = {}
+    for text in (t or "" for t in texts):
+        if text not in done:
+            done[text] = known.verified(text, cut[text])
+        yield done[text]
 
 
 def piece_codec(docs: DataFrame, model: bytes, keep_ids: bool = False) -> DataFrame:
