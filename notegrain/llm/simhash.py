@@ -13,8 +13,10 @@ chunks whose trees are searched chunk by chunk, in as many groups, so no task ho
 dropped. Each group reports a spanning forest of its links, at most one link for each member.
 
 Near copies (keep_one, the pipeline's stage) are another rule: five-word shingles with an exact Jaccard similarity of 0.8
-or more. Such pairs differ in some 10 of 64 bits, often 14, and no pigeonhole of shards finds that radius in a large corpus,
-so candidates come from MinHash bands, and every link is verified on the whole sets of shingles.
+or more. At 0.8 some 15% of the bits differ, which no pigeonhole of 64 bits survives in a large corpus. So their SimHash is
+wider: PRINT_BITS name shards, each by some bits drawn from them, so many shards that a pair at 0.8 shares one but for
+MISSED; SEARCH_BITS more, which are never part of a name, are what the shards' BK-trees hold and are searched for within
+COPY_RADIUS. Whoever the searches connect is a cluster, and in it every link is verified on the whole sets of shingles.
 
 Components: links are contracted by alternating large-star and small-star rounds until every node points at the
 smallest one it can reach. Nothing is collected but one count per round.
@@ -46,8 +48,14 @@ SHINGLE_WORDS = 4
 SHARD_ROWS = 1024
 #: Near copies (keep_one): words of a shingle and Jaccard similarity from which on two texts are linked.
 COPY_WORDS, COPY_JACCARD = 5, 0.8
-#: Bands and their rows: two texts of similarity 0.8 share a band with probability 0.9996, of 0.5 with 0.34.
-BANDS, BAND_ROWS = 26, 6
+#: Bits of the wide fingerprint that shards are named by, and of the one in their trees.
+PRINT_BITS, SEARCH_BITS = 1024, 256
+#: Bits of SEARCH_BITS that near copies may differ in: 5 standard deviations above the mean at COPY_JACCARD.
+COPY_RADIUS = 67
+#: Pairs at COPY_JACCARD that share no shard, at most, were shards independent.
+MISSED = 0.0002
+#: Unrelated texts in a shard, on average, from which on its name gets another bit.
+CROWD = 64
 #: Bits of the filter for texts that have candidates.
 FILTER_BITS = 1 << 26
 #: Keys above this part of a join's rows are hot; fewer than so many can be.
@@ -307,18 +315,83 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = COPY_JACCARD) -> bool:
     return common >= least * (len(small) + len(large) - common)
 
 
-def band_keys(shingles: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
-    """One hash of each band of the set's least values under bands * rows keyed orders."""
-    seeds = np.random.default_rng(SEED).integers(0, 1 << 63, (2, bands * rows), np.int64).astype(np.uint64)
-    odd, shift = (seeds[0] << np.uint64(1) | np.uint64(1))[:, None], seeds[1][:, None]
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), _STEP >> 3):
-        np.minimum(least, (shingles[at : at + (_STEP >> 3)] * odd + shift).min(1), out=least)
-    key = np.zeros(bands, np.uint64)
-    for column in least.reshape(bands, rows).T:
-        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def wide_print(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles in PRINT_BITS + SEARCH_BITS bits, packed in bytes: the majority of each bit.
+
+    Each 64 bits come from a keyed mixing of the shingles' hashes.
+    """
+    words = (PRINT_BITS + SEARCH_BITS) // 64
+    seeds = np.random.default_rng(SEED).integers(0, 1 << 63, (2, words), np.int64).astype(np.uint64)
+    counts = np.zeros(words * 64, np.int64)
+    for at in range(0, len(shingles), 255):  # so many that a byte counts them
+        mixed = shingles[at : at + 255, None] * (seeds[0] << np.uint64(1) | np.uint64(1)) + seeds[1]
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1)
+        counts += bits.view(np.uint64).sum(0).view(np.uint8)
+    return np.packbits(counts * 2 > len(shingles))
+
+
+def shard_bits(nodes: int) -> np.ndarray:
+    """The bits that name each shard of a text: one row for each shard.
+
+    A pair at COPY_JACCARD (sets of one size: cosine 2J/(1+J)) agrees on a bit with probability 1 - angle/pi.
+    """
+    width = 8
+    while width < 24 and nodes >> width > CROWD:
+        width += 1
+    agree = (1 - np.arccos(2 * COPY_JACCARD / (1 + COPY_JACCARD)) / np.pi) ** width
+    rnd = np.random.default_rng(SEED + 1)
+    return np.array([rnd.choice(PRINT_BITS, width, replace=False) for _ in range(int(np.ceil(np.log(MISSED) / np.log1p(-agree))))])
+
+
+def copy_candidates(nodes: DataFrame, count: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """u < v: links that connect all nodes (node, print) that meet in a shard and differ in at most COPY_RADIUS of SEARCH_BITS.
+
+    Shards above shard_rows and one HOT_PARTS-th of the nodes (fewer than HOT_PARTS for each name) are cut into chunks, as in links.
+    """
+    chosen = shard_bits(count)
+    powers = np.int64(1) << np.arange(chosen.shape[1], dtype=np.int64)
+    names = np.arange(len(chosen), dtype=np.int64) << 32
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            bits = np.unpackbits(prints[:, : PRINT_BITS // 8], axis=1)
+            shards = np.stack([bits[:, row] @ powers for row in chosen], axis=1) + names
+            sought = pa.array([p[PRINT_BITS // 8 :].tobytes() for p in prints], pa.binary()).take(pa.array(np.repeat(np.arange(len(prints)), len(chosen))))
+            columns = [pa.array(shards.ravel()), sought, pa.array(np.repeat(batch.column(0).to_numpy(), len(chosen)))]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "sought", "node"])
+
+    members = nodes.select("node", "print").mapInArrow(named, "shard long, sought binary, node long")
+    limit = max(shard_rows, count // HOT_PARTS)
+    large = members.groupBy("shard").count().where(F.col("count") > limit).select("shard", F.ceil(F.col("count") / F.lit(limit)).cast("int").alias("chunks"))
+    shared = members.join(F.broadcast(large), "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    shared = shared.withColumn("own", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int"))
+    dealt = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("shard", (F.least("own", "other") * F.lit(1 << 32) + F.greatest("own", "other")).alias("chunk"), (F.col("own") > F.col("other")).alias("searches"), "sought", "node")
+    ordered = dealt.repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "searches", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, found = None, ([], []), []
+
+        def close() -> None:
+            if now is not None and len(sides[0]) + len(sides[1]) > 1:
+                found.extend(group_links(sides[0], sides[1] if now[1] >> 32 != now[1] & 0xFFFFFFFF else None, COPY_RADIUS))
+
+        for batch in batches:
+            for shard, chunk, searches, sought, node in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                if (shard, chunk) != now:
+                    close()
+                    now, sides = (shard, chunk), ([], [])
+                sides[searches].append((int.from_bytes(sought), node))
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found.clear()
+        close()
+        yield _pairs(found)
+
+    return ordered.mapInArrow(run, "u long, v long").distinct()
 
 
 def copy_links(own: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]] | None) -> list[tuple[int, int]]:
@@ -344,23 +417,22 @@ def _maybe_in(nodes: DataFrame) -> np.ndarray:
 def copies(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Each distinct text's group: node (its XXH64), component (a node), first (its first document, rows without id last).
 
-    Texts whose five-word shingles have a Jaccard similarity of COPY_JACCARD or more are linked. Candidates share a band
-    of least values; whoever is reached by candidates is a cluster, and within a cluster all pairs are compared by their
-    exact similarity, in chunks as the shards are. Shingles travel once for each chunk, and only those of clusters.
+    Texts whose five-word shingles have a Jaccard similarity of COPY_JACCARD or more are linked. Candidates are found by
+    their SimHash in the BK-trees of shards (copy_candidates); whoever is reached by candidates is a cluster, and within a
+    cluster all pairs are compared by their exact similarity, in chunks as the shards are. Shingles travel once for each
+    chunk, and only those of clusters.
     """
     texts = id_and_text(docs).withColumn("node", F.xxhash64("text"))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            keys = [band_keys(shingle_set(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+            prints = [wide_print(shingle_set(t.as_py())).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.binary())], ["doc_id", "node", "print"])
 
     member = F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", F.col("node").alias("text_hash"))
-    rows = texts.mapInArrow(keyed, "doc_id long, node long, keys array<long>")
-    nodes = checkpoint(rows.groupBy("node").agg(F.min(member).alias("first"), F.min("keys").alias("keys")))
-    bands = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    least = bands.groupBy("band", "key").agg(F.min("node").alias("u"), F.count("*").alias("size")).where("size > 1")
-    near = components(bands.join(least, ["band", "key"]).where("u < node").select("u", F.col("node").alias("v")).distinct())
+    rows = texts.mapInArrow(printed, "doc_id long, node long, print binary")
+    nodes = checkpoint(rows.groupBy("node").agg(F.min(member).alias("first"), F.min("print").alias("print")))
+    near = components(copy_candidates(nodes, nodes.count(), shard_rows))
     clusters = checkpoint(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()))
     maybe = docs.sparkSession.sparkContext.broadcast(_maybe_in(clusters))
 
