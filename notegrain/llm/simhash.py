@@ -32,7 +32,7 @@ has no id at all gets a null component; an empty table gives an empty table; ver
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,8 @@ COPY_RADIUS = 67
 MISSED = 0.0002
 #: Unrelated texts in a shard, on average, from which on its name gets another bit.
 CROWD = 64
+#: Shingles that an index for exact comparisons holds.
+BLOCK = 1 << 20
 #: Bits of the filter for texts that have candidates.
 FILTER_BITS = 1 << 26
 #: Keys above this part of a join's rows are hot; fewer than so many can be.
@@ -64,6 +66,8 @@ HOT_PARTS = 1000
 HOT_ROWS = 100
 #: Shingles hashed at a time, to bound memory on very long texts.
 _STEP = 1 << 15
+#: Links among (node, item) members, or between them and the other side's.
+Compare = Callable[[list[tuple[int, bytes]], list[tuple[int, bytes]] | None], list[tuple[int, int]]]
 
 
 def simhash(text: str | None, width: int = SHINGLE_WORDS) -> int:
@@ -269,10 +273,9 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("v").alias("node"), F.col("u").alias("component"))
         before = known
         large = _with_least(both, "u", "v", hot).where(up).select(F.least("m", "u").alias("u"), "v").where("u < v")
-        # of a node and its smaller neighbours: each smaller neighbour, and the node itself, goes to the smallest
-        ends = F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), F.col("v").alias("v")))
-        small = _with_least(large, "v", "u", hot).select(F.explode(ends).alias("e"))
-        now = checkpoint(small.select("e.u", "e.v").where("u < v").distinct())
+        # a node and its smaller neighbours go to the smallest: the link to the smallest stays, each other one becomes its neighbour's
+        small = _with_least(large, "v", "u", hot).select(F.col("m").alias("u"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"))
+        now = checkpoint(small.distinct())
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, width: int = SHINGLE_WORDS, blocks: int | None = None) -> DataFrame:
@@ -303,18 +306,6 @@ def shingle_set(text: str | None, width: int = COPY_WORDS) -> np.ndarray:
     return np.unique(np.concatenate(parts).astype(np.uint64)) if parts else np.zeros(0, np.uint64)
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: float = COPY_JACCARD) -> bool:
-    """Whether the exact Jaccard similarity of two sorted sets is at least so much; two empty sets are equal."""
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if len(small) < least * len(large):
-        return False
-    if not len(large):
-        return True
-    at = np.minimum(large.searchsorted(small), len(large) - 1)
-    common = int((large[at] == small).sum())
-    return common >= least * (len(small) + len(large) - common)
-
-
 def wide_print(shingles: np.ndarray) -> np.ndarray:
     """SimHash of a set of shingles in PRINT_BITS + SEARCH_BITS bits, packed in bytes: the majority of each bit.
 
@@ -345,10 +336,81 @@ def shard_bits(nodes: int) -> np.ndarray:
     return np.array([rnd.choice(PRINT_BITS, width, replace=False) for _ in range(int(np.ceil(np.log(MISSED) / np.log1p(-agree))))])
 
 
+def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links that connect the same nodes: each to the smallest that it can reach, so that what many tasks find is often the same."""
+    forest = _Forest()
+    for u, v in links:
+        forest.join(u, v)
+    return [(root, node) for node in list(forest.parent) if (root := forest.find(node)) != node]
+
+
+def _meet(dealt: DataFrame, compare: Compare) -> DataFrame:
+    """u < v: what compare links among those dealt (place, lo, hi, searches, label, item) to one group, or between its two sides."""
+    ordered = dealt.select("place", "lo", "hi", "searches", "label", "item").repartition("place", "lo", "hi").sortWithinPartitions("place", "lo", "hi", "searches", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, found = None, ([], []), []
+
+        def close() -> None:
+            if now is not None and len(sides[0]) + len(sides[1]) > 1:
+                found.extend(_stars(compare(sides[0], sides[1] if now[1] != now[2] else None)))
+
+        for batch in pieces(batches, 1 << 14):
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for place, lo, hi, searches, label, item in zip(*columns, strict=True):
+                if (place, lo, hi) != now:
+                    close()
+                    now, sides = (place, lo, hi), ([], [])
+                sides[searches].append((label, item))
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found.clear()
+        close()
+        yield _pairs(found)
+
+    return ordered.mapInArrow(run, "u long, v long").distinct()
+
+
+def links_by_place(members: DataFrame, large: DataFrame, compare: Compare, shard_rows: int, limit: int, turns: int = 1) -> DataFrame:
+    """u < v: links that connect all members (place, node, item) of a place that compare links.
+
+    Large places (place, size) are few, and cut into chunks of shard_rows, in so many turns. Whom these connect need not meet again:
+    afterwards only those outside of a place's main component meet each other and the main one, in chunks of limit. So
+    neither rows dealt nor links grow with the square of a group whose chunks are connected.
+    """
+    chunks = F.coalesce(F.ceil(F.col("size") / F.lit(shard_rows)), F.lit(1)).cast("int")
+    first = members.join(F.broadcast(large), "place", "left").withColumn("chunks", chunks).withColumn("turn", F.lit(0))
+    if turns > 1:
+        first = first.withColumn("turn", F.explode(F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.lit(turns - 1))).otherwise(F.array(F.lit(0)))))
+    chunk = (F.col("turn") * F.col("chunks") + F.pmod(F.xxhash64("node", "place", "turn"), F.col("chunks"))).cast("int")
+    found = _meet(first.select("place", chunk.alias("lo"), chunk.alias("hi"), F.lit(False).alias("searches"), F.col("node").alias("label"), "item"), compare)
+    if large.isEmpty():
+        return found
+    found = components(found)
+    label = F.coalesce("component", "node").alias("label")
+    inside = checkpoint(members.join(F.broadcast(large.select("place")), "place").join(found, "node", "left").select("place", "node", label, "item"))
+    sizes = inside.groupBy("place", "label").agg(F.count("*").alias("n")).groupBy("place").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("main"))
+    parts = {"rest": F.col("all") - F.col("main.n"), "most": F.col("main.n")}
+    plan = sizes.select("place", F.col("main.label").alias("main"), *[F.ceil(v / F.lit(limit)).cast("int").alias(k) for k, v in parts.items()]).where("rest > 0")
+    # chunks of the rest come first: those of the main component only meet these
+    dealt = inside.join(F.broadcast(plan), "place").withColumn("in main", F.col("label") == F.col("main"))
+    own = F.pmod(F.xxhash64("node", F.lit("chunk")), F.when(F.col("in main"), F.col("most")).otherwise(F.col("rest"))) + F.when(F.col("in main"), F.col("rest")).otherwise(0)
+    last = F.when(F.col("in main"), F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1
+    dealt = dealt.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.select("place", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("searches"), "label", "item")
+    return found.select(F.col("component").alias("u"), F.col("node").alias("v")).unionByName(_meet(dealt, compare))
+
+
+def near_links(own: list[tuple[int, bytes]], others: list[tuple[int, bytes]] | None) -> list[tuple[int, int]]:
+    """group_links of (node, bits) within COPY_RADIUS."""
+    sides = [None if side is None else [(int.from_bytes(bits), node) for node, bits in side] for side in (own, others)]
+    return group_links(sides[0], sides[1], COPY_RADIUS)
+
+
 def copy_candidates(nodes: DataFrame, count: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """u < v: links that connect all nodes (node, print) that meet in a shard and differ in at most COPY_RADIUS of SEARCH_BITS.
 
-    Shards above shard_rows and one HOT_PARTS-th of the nodes (fewer than HOT_PARTS for each name) are cut into chunks, as in links.
+    Shards above shard_rows and one HOT_PARTS-th of the nodes (fewer than HOT_PARTS for each name) are cut, see links_by_place.
     """
     chosen = shard_bits(count)
     powers = np.int64(1) << np.arange(chosen.shape[1], dtype=np.int64)
@@ -360,48 +422,43 @@ def copy_candidates(nodes: DataFrame, count: int, shard_rows: int = SHARD_ROWS)
             bits = np.unpackbits(prints[:, : PRINT_BITS // 8], axis=1)
             shards = np.stack([bits[:, row] @ powers for row in chosen], axis=1) + names
             sought = pa.array([p[PRINT_BITS // 8 :].tobytes() for p in prints], pa.binary()).take(pa.array(np.repeat(np.arange(len(prints)), len(chosen))))
-            columns = [pa.array(shards.ravel()), sought, pa.array(np.repeat(batch.column(0).to_numpy(), len(chosen)))]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "sought", "node"])
+            columns = [pa.array(shards.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), len(chosen))), sought]
+            yield pa.RecordBatch.from_arrays(columns, ["place", "node", "item"])
 
-    members = nodes.select("node", "print").mapInArrow(named, "shard long, sought binary, node long")
+    members = nodes.select("node", "print").mapInArrow(named, "place long, node long, item binary")
     limit = max(shard_rows, count // HOT_PARTS)
-    large = members.groupBy("shard").count().where(F.col("count") > limit).select("shard", F.ceil(F.col("count") / F.lit(limit)).cast("int").alias("chunks"))
-    shared = members.join(F.broadcast(large), "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    shared = shared.withColumn("own", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int"))
-    dealt = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("shard", (F.least("own", "other") * F.lit(1 << 32) + F.greatest("own", "other")).alias("chunk"), (F.col("own") > F.col("other")).alias("searches"), "sought", "node")
-    ordered = dealt.repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "searches", "node")
+    large = checkpoint(members.groupBy("place").agg(F.count("*").alias("size")).where(F.col("size") > limit))
+    return links_by_place(members, large, near_links, shard_rows, limit)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides, found = None, ([], []), []
 
-        def close() -> None:
-            if now is not None and len(sides[0]) + len(sides[1]) > 1:
-                found.extend(group_links(sides[0], sides[1] if now[1] >> 32 != now[1] & 0xFFFFFFFF else None, COPY_RADIUS))
-
-        for batch in batches:
-            for shard, chunk, searches, sought, node in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                if (shard, chunk) != now:
-                    close()
-                    now, sides = (shard, chunk), ([], [])
-                sides[searches].append((int.from_bytes(sought), node))
-            if len(found) > 10_000:
-                yield _pairs(found)
-                found.clear()
-        close()
-        yield _pairs(found)
+def common_shingles(sets: list[np.ndarray], queries: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each query the number of shingles that it has in common with each of the sets; all are sorted and distinct."""
+    held = np.concatenate(sets)
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+    for query in queries:
+        left, right = held.searchsorted(query), held.searchsorted(query, "right")
+        counts = right - left
+        at = np.arange(counts.sum()) + np.repeat(left - counts.cumsum() + counts, counts)
+        yield np.bincount(owner[at], minlength=len(sets))
 
-    return ordered.mapInArrow(run, "u long, v long").distinct()
 
+def copy_links(own: list[tuple[int, bytes]], others: list[tuple[int, bytes]] | None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of (node, shingles) with a Jaccard similarity of COPY_JACCARD, or of those between the two sides.
 
-def copy_links(own: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]] | None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of (node, shingles) that are alike, or of those between the two sides."""
+    Each set meets blocks of others; a block has up to BLOCK shingles, or one set. Two empty sets are alike.
+    """
     forest, out = _Forest(), []
-    for k, (node, shingles) in enumerate(own if others is None else others):
-        for other, theirs in own[:k] if others is None else own:
-            if forest.find(other) != forest.find(node) and alike(shingles, theirs):
-                forest.join(other, node)
-                out.append((min(other, node), max(other, node)))
+    own, others = [None if side is None else [(node, np.frombuffer(shingles, np.uint64)) for node, shingles in side] for side in (own, others)]
+    block = np.cumsum([len(x) for _, x in own]) // BLOCK
+    for k in np.unique(block):
+        begin, end = np.searchsorted(block, [k, k + 1]).tolist()
+        nodes, sets = zip(*own[begin:end], strict=True)
+        sizes, queries = np.array([len(x) for x in sets]), own[begin:] if others is None else others
+        for (node, shingles), common in zip(queries, common_shingles(sets, [x for _, x in queries]), strict=True):
+            for other in np.flatnonzero(common >= COPY_JACCARD * (sizes + len(shingles) - common)).tolist():
+                if forest.join(nodes[other], node):
+                    out.append((min(nodes[other], node), max(nodes[other], node)))
     return out
 
 
@@ -445,34 +502,11 @@ def copies(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
     # repeated texts are merged on the map side
     sets = texts.mapInArrow(held, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size")).withColumn("chunks", F.ceil(F.col("size") / F.lit(shard_rows)).cast("int"))
-    own = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")
-    shared = join_counted(clusters, sizes, "component", clusters.count()).withColumn("own", own).join(sets, "node")
-    dealt = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("searches"), "node", "shingles")
-    ordered = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "searches", "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides, found = None, ([], []), []
-
-        def close() -> None:
-            if now is not None:
-                found.extend(copy_links(sides[0], sides[1] if now[1] != now[2] else None))
-
-        for batch in pieces(batches):
-            columns = [batch.column(k).to_pylist() for k in range(6)]
-            for component, lo, hi, searches, node, shingles in zip(*columns, strict=True):
-                if (component, lo, hi) != now:
-                    close()
-                    now, sides = (component, lo, hi), ([], [])
-                sides[searches].append((node, np.frombuffer(shingles, np.uint64)))
-            if len(found) > 10_000:
-                yield _pairs(found)
-                found.clear()
-        close()
-        yield _pairs(found)
-
-    found = components(ordered.mapInArrow(run, "u long, v long").distinct())
+    large = checkpoint(clusters.groupBy(F.col("component").alias("place")).agg(F.count("*").alias("size")).where(F.col("size") > shard_rows))
+    members = clusters.withColumnRenamed("component", "place").join(sets.withColumnRenamed("shingles", "item"), "node")
+    if not large.isEmpty():
+        members = checkpoint(members)
+    found = components(links_by_place(members, large, copy_links, shard_rows, shard_rows, turns=2))
     return nodes.select("node", "first").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first")
 
 
